@@ -272,7 +272,7 @@ _Q: dict[str, Query] = {
     ),
     # models (iterative, so without a SQL twin)
     "admission_model_metrics": _on(
-        _trained(learning.train_admission, lambda t: t.metrics), *_FEATURES, "is_admitted"
+        _trained(lambda v: learning.train_admission(v, parallelism=5), lambda t: t.metrics), *_FEATURES, "is_admitted"
     ),
     "admission_model_report": _on(
         _trained(
@@ -289,8 +289,8 @@ _Q: dict[str, Query] = {
     "score_importances": _on(
         _trained(learning.train_score, lambda t: t.importances), *_FEATURES, "satisfaction_score"
     ),
-    "patient_segments": _on(lambda v: learning.cluster_table(learning.segment(v).profiles), *_SEGMENT),
-    "segment_scatter": _on(lambda v: charts.segment_scatter(learning.segment(v).clustered), *_SEGMENT),
+    "patient_segments": _on(lambda v: learning.cluster_table(learning.segment(v, parallelism=5).profiles), *_SEGMENT),
+    "segment_scatter": _on(lambda v: charts.segment_scatter(learning.segment(v, parallelism=5).clustered), *_SEGMENT),
     # quality
     "quality_summary": _on(quality.summary),
     "quarantined_visits": _on(_quarantined),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import sqrt
 from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
@@ -33,19 +34,24 @@ PROFILE_FEATURES = ("age", "wait_time", "satisfaction_score_filled", "is_admitte
 MISSING_LABEL = "nan"  # a missing category is a category of its own, sorted by this text
 SEED = 42
 TREES = 100
-DEPTH = 10
+DEPTH = 8
 FOLDS = 5
 STARTS = 10
+SHIFT = 1e-4
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------
 
+def fit_medians(visits: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians, found in one pass and fetched as one small row, like the fit of any MLlib estimator."""
+    return dict(visits.sparkSession.range(1).select(medians(visits, columns).alias("m")).first()["m"])
+
+
 def impute(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as doubles, missing values replaced by the exact median of the column."""
-    # The scalar is bound once as a column: repeated in every expression it would be planned again each time.
-    bound = visits.withColumn("_medians", medians(visits, columns))
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("_medians")[c]) for c in columns}
-    return bound.withColumns(filled).drop("_medians")
+    middle = fit_medians(visits, columns)
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c)).cast("double")) for c in columns}
+    return visits.withColumns(filled)
 
 
 def _labels(visits: DataFrame) -> DataFrame:
@@ -80,14 +86,15 @@ def feature_matrix(visits: DataFrame, *keep: str) -> tuple[DataFrame, StringInde
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre each column and divide by its population deviation; a constant column becomes 0."""
-    moments = [(F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")) for c in columns]
-    scale = df.agg(F.struct(*[m for pair in moments for m in pair]).alias("scale")).scalar()
+    fitted = df.agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]
+    ).first()
 
     def scaled(c: str) -> Column:
-        z = F.try_divide(F.col(c) - F.col(f"_scale.mean_{c}"), F.col(f"_scale.std_{c}"))
-        return F.when(F.col(c).isNotNull(), F.coalesce(z, F.lit(0.0)))
+        mean, std = fitted[f"mean_{c}"], fitted[f"std_{c}"]
+        return (F.col(c) - F.lit(mean)) / F.lit(std) if std else F.when(F.col(c).isNotNull(), F.lit(0.0))
 
-    return df.withColumn("_scale", scale).withColumns({c: scaled(c) for c in columns}).drop("_scale")
+    return df.withColumns({c: scaled(c) for c in columns})
 
 
 def segment_features(visits: DataFrame, *keep: str) -> DataFrame:
@@ -212,6 +219,21 @@ def _assembled(matrix: DataFrame, *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(matrix).select(*keep, "features")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Persist training data; an input of fewer partitions than cores is first spread over all of them.
+
+    Large inputs already have more partitions than that and are not shuffled.
+    """
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() >= cores:
+        return data
+    spread = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    data.unpersist()
+    return spread
+
+
 def _bins(encoder: StringIndexerModel) -> int:
     # Every category value needs a bin of its own, and one is set aside for unseen labels.
     return max(32, max(len(labels) for labels in encoder.labelsArray) + 1)
@@ -236,7 +258,7 @@ def train_admission(
     data = with_test_flag(data, seed, label="label")
     if folds:
         data = with_fold(data, "label", folds, seed)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _kept(data)
     if data.select("label").distinct().count() < 2:
         data.unpersist()
         raise ValueError("the admission model needs both admitted and not admitted visits")
@@ -260,8 +282,7 @@ def train_score(visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed:
     """Random forest for the satisfaction score, on scored visits only; plain 80/20 test."""
     rated = visits.where(F.col("satisfaction_score").isNotNull()).withColumn("label", F.col("satisfaction_score"))
     matrix, encoder = feature_matrix(rated, "patient_id", "label")
-    data = with_test_flag(_assembled(matrix, "patient_id", "label"), seed)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _kept(with_test_flag(_assembled(matrix, "patient_id", "label"), seed))
     forest = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, trees, depth, seed))
     model = forest.fit(data.where(~F.col("is_test")))
     predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
@@ -294,18 +315,27 @@ def cluster_table(profiles: DataFrame) -> DataFrame:
     return profiles.toDF(*names)
 
 
-def segment(visits: DataFrame, n_clusters: int = 4, starts: int = STARTS, seed: int = SEED) -> Segments:
-    """K-Means on the standardized features: the best of several starts by within-cluster sum of squares."""
+def segment(
+    visits: DataFrame, n_clusters: int = 4, starts: int = STARTS, seed: int = SEED, parallelism: int = 2
+) -> Segments:
+    """K-Means on the standardized features: the best of several starts by within-cluster sum of squares.
+
+    A start ends when the centres together move by less than ``SHIFT`` squared; MLlib's tolerance is the distance a
+    single centre may move.
+    """
     raw = [F.col(c).alias(f"_{c}") for c in SEGMENT_FEATURES]
     scaled = segment_features(visits.select("*", *raw), *visits.drop(*SEGMENT_FEATURES).columns,
                               *[f"_{c}" for c in SEGMENT_FEATURES])
     vectors = VectorAssembler(inputCols=list(SEGMENT_FEATURES), outputCol="features").transform(scaled)
-    points = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    points = _kept(vectors.select("features"))
+
+    kmeans = KMeans(k=n_clusters, maxIter=300, tol=sqrt(SHIFT / n_clusters), predictionCol="cluster")
 
     def run(start: int) -> KMeansModel:
-        return KMeans(k=n_clusters, seed=seed + start, maxIter=300, predictionCol="cluster").fit(points)
+        return kmeans.copy({kmeans.seed: seed + start}).fit(points)
 
-    best = min((run(i) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    with ThreadPool(parallelism) as pool:
+        best = min(pool.map(run, range(starts)), key=lambda m: m.summary.trainingCost)
     inertia = best.summary.trainingCost
     points.unpersist()
     original = {c: F.col(f"_{c}") for c in SEGMENT_FEATURES}
