@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitflow.functions import scalars
 from visitflow.operators.quantiles import median
+from visitflow.sources import schema as S
 
 
 def parse(raw: DataFrame, referral_null_mode: str = "literal") -> DataFrame:
@@ -30,30 +34,36 @@ def parse(raw: DataFrame, referral_null_mode: str = "literal") -> DataFrame:
     })
 
 
-def derive(base: DataFrame, referral_null_mode: str = "literal") -> DataFrame:
-    """Add every derived column whose source column is present; existing columns of the same name are replaced."""
-    date, age, wait = F.col("admission_date"), F.col("age"), F.col("wait_time")
-    hour = scalars.hour_of(F.col("admission_time"))
-    referral = scalars.has_referral(F.col("department_referral"))
-    if referral_null_mode == "null":
-        referral = F.coalesce(referral, F.lit(True))
-    derived = {
-        "admission_date": {
-            "year": F.year(date),
-            "month": F.month(date),
-            "month_name": F.date_format(date, "MMMM"),
-            "day_of_week": F.date_format(date, "EEEE"),
-            "week_number": scalars.iso_week(date),
-        },
-        "admission_time": {"hour": hour, "time_of_day": scalars.time_of_day(hour)},
-        "age": {"age_group": scalars.age_group(age)},
-        "wait_time": {"wait_category": scalars.wait_category(wait)},
-        "admission_flag": {"is_admitted": scalars.is_admitted(F.col("admission_flag"))},
-        "department_referral": {"has_referral": referral},
+def _derivations(referral_null_mode: str) -> dict[str, Callable[[], Column]]:
+    def referral() -> Column:
+        flag = scalars.has_referral(F.col("department_referral"))
+        return F.coalesce(flag, F.lit(True)) if referral_null_mode == "null" else flag
+
+    date, hour = partial(F.col, "admission_date"), lambda: scalars.hour_of(F.col("admission_time"))
+    return {
+        "year": lambda: F.year(date()),
+        "month": lambda: F.month(date()),
+        "month_name": lambda: F.date_format(date(), "MMMM"),
+        "day_of_week": lambda: F.date_format(date(), "EEEE"),
+        "week_number": lambda: scalars.iso_week(date()),
+        "hour": hour,
+        "time_of_day": lambda: scalars.time_of_day(hour()),
+        "age_group": lambda: scalars.age_group(F.col("age")),
+        "wait_category": lambda: scalars.wait_category(F.col("wait_time")),
+        "is_admitted": lambda: scalars.is_admitted(F.col("admission_flag")),
+        "has_referral": referral,
     }
-    return base.withColumns({
-        name: column for source, group in derived.items() if source in base.columns for name, column in group.items()
-    })
+
+
+def derive(base: DataFrame, referral_null_mode: str = "literal", only: Sequence[str] | None = None) -> DataFrame:
+    """Add the derived columns (or ``only`` some) whose source column is present."""
+    present = set(base.columns)
+    added = {
+        name: build()
+        for name, build in _derivations(referral_null_mode).items()
+        if S.DERIVED_FROM[name] in present and (only is None or name in only)
+    }
+    return base.withColumns(added) if added else base
 
 
 def fill_scores(visits: DataFrame) -> DataFrame:

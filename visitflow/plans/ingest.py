@@ -12,7 +12,7 @@ from visitflow.operators.derive import derive, fill_scores, parse
 from visitflow.sources import schema as S
 from visitflow.sources.files import read_raw_csv, write_parquet
 
-QUARANTINED = "quarantined"
+QUARANTINED = "quarantined"  # a partition column, so it reads back as the text true or false
 
 
 def ingest(spark: SparkSession, source: str, target: str, referral_null_mode: str = "literal") -> DataFrame:
@@ -29,13 +29,13 @@ def ingest(spark: SparkSession, source: str, target: str, referral_null_mode: st
 
 def read_valid(spark: SparkSession, target: str) -> DataFrame:
     """The rows that broke no rule, with scores filled."""
-    rows = spark.read.parquet(target).where(~F.col(QUARANTINED))
+    rows = spark.read.parquet(target).where(F.col(QUARANTINED) == "false")
     return fill_scores(rows.drop(QUARANTINED, quality.VIOLATIONS, S.MALFORMED)).select(*S.ALL_COLUMNS)
 
 
 def read_quarantine(spark: SparkSession, target: str) -> DataFrame:
     """The rows that broke a rule, with the rules' names and, for unreadable lines, their text."""
-    return spark.read.parquet(target).where(F.col(QUARANTINED))
+    return spark.read.parquet(target).where(F.col(QUARANTINED) == "true")
 
 
 def main() -> None:

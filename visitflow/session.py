@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Recording the Python call site of every column expression costs more than building the expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from visitflow.operators.derive import derive, fill_scores, parse
+from visitflow.operators.derive import derive, fill_scores, parse, sql_view
 from visitflow.sources import schema as S
 
 
+def _number(text: Column, kind: T.DataType) -> Column:
+    """The number a field holds; null when it holds something else (for whole numbers, also a fraction)."""
+    value = text.try_cast("double")
+    if isinstance(kind, T.IntegerType):
+        return F.when(value == F.floor(value), value.try_cast("int"))
+    return value
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows with a header line; the header text is ignored, columns bind by position.
 
-    A file of another width is refused. Single rows that are short, long or ill-typed are kept and carry their text in
-    ``malformed_record``. Column pruning in the parser is off, because a pruned read would not notice such rows.
+    A file of another width is refused. Single rows that are short, long or hold text in a number field are kept, with
+    the row's text in ``malformed_record``. The parser reads text only and does not prune columns: otherwise which rows
+    count as malformed would depend on the columns a query happens to select.
     """
     width = len(spark.read.option("header", True).csv(path).columns)
     if width != len(S.RAW_COLUMNS):
         raise ValueError(f"expected {len(S.RAW_COLUMNS)} columns, the header has {width}")
-    return (
-        spark.read.schema(S.RAW)
+    text = (
+        spark.read.schema(S.RAW_TEXT)
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
@@ -27,6 +41,11 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("columnPruning", False)
         .csv(path)
     )
+    kinds = {f.name: f.dataType for f in S.RAW if not isinstance(f.dataType, T.StringType)}
+    numbers = {name: _number(F.col(name), kind) for name, kind in kinds.items()}
+    unread = reduce(or_, [F.col(name).isNotNull() & number.isNull() for name, number in numbers.items()])
+    fields = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in S.RAW_COLUMNS])
+    return text.withColumns({**numbers, S.MALFORMED: F.coalesce(F.col(S.MALFORMED), F.when(unread, fields))})
 
 
 def read_visits(
@@ -35,7 +54,9 @@ def read_visits(
     """The full visit table from raw CSV, or from Parquet written by this library."""
     if source == "parquet":
         visits = spark.read.parquet(path)
-        return visits if "is_admitted" in visits.columns else derive(visits, referral_null_mode)
+        if "is_admitted" not in visits.columns:
+            visits = derive(visits, referral_null_mode)
+        return visits if "satisfaction_score_filled" in visits.columns else fill_scores(visits)
     if source != "csv":
         raise ValueError(f"source must be 'csv' or 'parquet', not {source!r}")
     parsed = parse(read_raw_csv(spark, path), referral_null_mode)
@@ -65,8 +86,6 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def register(visits: DataFrame, name: str = "patients") -> None:
     """Make the table visible to SQL text."""
-    from visitflow.operators.derive import sql_view
-
     sql_view(visits).createOrReplaceTempView(name)
 
 

@@ -51,17 +51,20 @@ BROWSE_COLUMNS = (
 
 MALFORMED = "malformed_record"
 
-_RAW_TYPES = {"age": T.IntegerType(), "wait_time": T.IntegerType(), "satisfaction_score": T.DoubleType()}
+_NUMBERS = {"age": T.IntegerType(), "wait_time": T.IntegerType(), "satisfaction_score": T.DoubleType()}
 
-# What the file reader sees: dates and times are still text, and a row that does not fit lands in MALFORMED.
+# What the file reader sees: every field is text, and a row that is short or long lands in MALFORMED.
+RAW_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in (*RAW_COLUMNS, MALFORMED)])
+
+# A raw row after the numbers were read; dates and times are still text.
 RAW = T.StructType(
-    [T.StructField(c, _RAW_TYPES.get(c, T.StringType())) for c in RAW_COLUMNS]
+    [T.StructField(c, _NUMBERS.get(c, T.StringType())) for c in RAW_COLUMNS]
     + [T.StructField(MALFORMED, T.StringType())]
 )
 
 # The parsed table before derivation.
 BASE = T.StructType([
-    T.StructField(c, T.DateType() if c == "admission_date" else _RAW_TYPES.get(c, T.StringType()))
+    T.StructField(c, T.DateType() if c == "admission_date" else _NUMBERS.get(c, T.StringType()))
     for c in RAW_COLUMNS
 ])
 

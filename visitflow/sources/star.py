@@ -9,87 +9,89 @@ split on a hot customer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from visitflow.operators.derive import derive, fill_scores
 from visitflow.sources import schema as S
 
-
-def _second() -> Column:
-    """Second of the day at which a visit starts."""
-    return (F.col("o_orderkey") * 7919) % 86400
-
-
-def _two_digits(value: Column) -> Column:
-    return F.lpad(F.floor(value).cast("string"), 2, "0")
-
-
-def _fact_columns() -> dict[str, Column]:
-    key, price, second = F.col("o_orderkey"), F.col("o_totalprice"), _second()
-    clock = F.concat_ws(":", _two_digits(second / 3600), _two_digits((second % 3600) / 60), _two_digits(second % 60))
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    medium = (F.col("o_orderpriority") == "3-MEDIUM") & (key % 2 == 0)
-    score = F.floor(key / 10) % 7 + F.floor((F.lit(500000) - price) / 100000)
-    wait = F.floor(price / 8000).cast("int") + F.when(key % 97 == 0, 120).otherwise(0)
-    return {
-        "patient_id": F.concat(F.lit("P"), F.lpad(key.cast("string"), 9, "0")),
-        "admission_date": F.when(key % 997 != 0, F.col("o_orderdate").cast("date")),
-        "admission_time": F.when(key % 89 != 0, clock),
-        "gender": F.when(F.col("o_orderstatus") == "F", "Female")
-        .when(F.col("o_orderstatus") == "O", "Male")
-        .otherwise("Other"),
-        "age": (F.col("o_custkey") % 101).cast("int"),
-        "admission_flag": F.when(urgent | medium, S.ADMITTED).otherwise(S.NOT_ADMITTED),
-        "satisfaction_score": F.when(key % 10 < 3, score.cast("double")),
-        "wait_time": F.when(key % 211 != 0, wait),
-    }
-
-
-def _lookup_columns() -> dict[str, Column]:
-    segment = F.col("c_mktsegment")
-    return {
-        "patient_name": F.col("c_name"),
-        "race": F.col("r_name"),
-        "department_referral": F.when(segment == "MACHINERY", S.NO_REFERRAL).otherwise(segment),
-    }
+# Declared, so that opening a table reads no file footers.
+TABLES = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
+
+_SECOND = "((o_orderkey * 7919) % 86400)"  # second of the day at which the visit starts
+
+_FACTS = {
+    "patient_id": "concat('P', lpad(cast(o_orderkey AS STRING), 9, '0'))",
+    "admission_date": "CASE WHEN o_orderkey % 997 <> 0 THEN cast(o_orderdate AS DATE) END",
+    "admission_time": f"""CASE WHEN o_orderkey % 89 <> 0 THEN concat_ws(':',
+        lpad(cast({_SECOND} div 3600 AS STRING), 2, '0'),
+        lpad(cast(({_SECOND} % 3600) div 60 AS STRING), 2, '0'),
+        lpad(cast({_SECOND} % 60 AS STRING), 2, '0')) END""",
+    "gender": "CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' ELSE 'Other' END",
+    "age": "cast(o_custkey % 101 AS INT)",
+    "admission_flag": """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
+        OR (o_orderpriority = '3-MEDIUM' AND o_orderkey % 2 = 0) THEN 'Admission' ELSE 'Not Admission' END""",
+    "satisfaction_score": """CASE WHEN o_orderkey % 10 < 3
+        THEN cast(floor(o_orderkey / 10) % 7 + floor((500000 - o_totalprice) / 100000) AS DOUBLE) END""",
+    "wait_time": """CASE WHEN o_orderkey % 211 <> 0
+        THEN cast(floor(o_totalprice / 8000) AS INT) + CASE WHEN o_orderkey % 97 = 0 THEN 120 ELSE 0 END END""",
+}
+
+_LOOKUPS = {
+    "patient_name": "c_name",
+    "race": "r_name",
+    "department_referral": "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'None' ELSE c_mktsegment END",
+}
+
+# What an unparsed file would hold: dates and times as text, some of it bad.
+_RAW_TEXT = {
+    **_FACTS,
+    "admission_date": "CASE WHEN o_orderkey % 997 = 0 THEN 'not-a-date' "
+                      "ELSE date_format(o_orderdate, 'MM/dd/yyyy') END",
+    "admission_time": "CASE WHEN o_orderkey % 89 = 0 THEN '' "
+                      f"ELSE date_format(timestamp_seconds({_SECOND}), 'hh:mm:ss a') END",
+}
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}.parquet")
+
+
+def _patients(spark: SparkSession, path: str, with_region: bool) -> DataFrame:
+    patients = _table(spark, path, "customer")
+    if with_region:
+        nation, region = _table(spark, path, "nation"), _table(spark, path, "region")
+        patients = patients.join(nation, patients.c_nationkey == nation.n_nationkey, "left").join(
+            region, nation.n_regionkey == region.r_regionkey, "left"
+        )
+    return patients
 
 
 def visits(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """The named columns of the visit table over the Parquet tables in ``path``; all columns when none is named."""
     wanted = columns or S.ALL_COLUMNS
     base = {S.DERIVED_FROM.get(c, c) for c in wanted}
-    facts, lookups = _fact_columns(), _lookup_columns()
-    rows = spark.read.parquet(f"{path}/orders.parquet")
-    if base & lookups.keys():
-        patients = spark.read.parquet(f"{path}/customer.parquet")
-        if "race" in base:
-            nation = spark.read.parquet(f"{path}/nation.parquet")
-            region = spark.read.parquet(f"{path}/region.parquet")
-            patients = patients.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
-                region, F.col("n_regionkey") == F.col("r_regionkey"), "left"
-            )
-        rows = rows.join(patients, F.col("o_custkey") == F.col("c_custkey"), "left")
-    expressions = {**facts, **lookups}
-    table = derive(rows.select(*[expressions[c].alias(c) for c in S.RAW_COLUMNS if c in base]))
+    rows = _table(spark, path, "orders")
+    if base & _LOOKUPS.keys():
+        patients = _patients(spark, path, "race" in base)
+        rows = rows.join(patients, rows.o_custkey == patients.c_custkey, "left")
+    expressions = {**_FACTS, **_LOOKUPS}
+    table = derive(
+        rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in base]), only=wanted
+    )
     if "satisfaction_score_filled" in wanted:
         table = fill_scores(table)
     return table.select(*wanted)
 
 
 def raw_text(spark: SparkSession, path: str) -> DataFrame:
-    """The same visits as an unparsed file would hold them: dates and times as text, some of it bad."""
-    orders = spark.read.parquet(f"{path}/orders.parquet")
-    key = F.col("o_orderkey")
-    clock = F.date_format(F.timestamp_seconds(_second()), "hh:mm:ss a")
-    facts = _fact_columns()
-    text = {
-        "admission_date": F.when(key % 997 == 0, "not-a-date").otherwise(
-            F.date_format(F.col("o_orderdate"), "MM/dd/yyyy")
-        ),
-        "admission_time": F.when(key % 89 == 0, "").otherwise(clock),
-        "patient_name": F.lit(None).cast("string"),
-        "race": F.lit(None).cast("string"),
-        "department_referral": F.lit(None).cast("string"),
-    }
-    return orders.select(*[text.get(c, facts.get(c)).alias(c) for c in S.RAW_COLUMNS])
+    """The same visits as a raw file would hold them, all eleven columns."""
+    orders, patients = _table(spark, path, "orders"), _patients(spark, path, True)
+    rows = orders.join(patients, orders.o_custkey == patients.c_custkey, "left")
+    expressions = {**_RAW_TEXT, **_LOOKUPS}
+    return rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS])
