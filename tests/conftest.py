@@ -19,6 +19,8 @@ def spark():
     session = local_session(
         cores=8, shuffle_partitions=4, **{
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "2000",
+            "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": f"{scratch}/warehouse",
             "spark.local.dir": f"{scratch}/local",
         },

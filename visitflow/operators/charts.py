@@ -129,13 +129,15 @@ def score_histogram(visits: DataFrame) -> DataFrame:
 def _fenced(visits: DataFrame, value: str, group: str, labels: Sequence[str]) -> DataFrame:
     """Value counts per label with the label's quartiles and fences."""
     counts = value_counts(visits.where(F.col(group).isin(*labels)), value, [group])
-    q = F.col("q")
+    per_label = quantiles(counts, value, [0.25, 0.5, 0.75], [group])
+    # One entry per label.
+    by_label = per_label.agg(F.map_from_entries(F.collect_list(F.struct(group, "q"))).alias("q")).scalar()
+    q = F.col("_q")
     reach = stats.FENCE * (q[2] - q[0])
-    fences = quantiles(counts, value, [0.25, 0.5, 0.75], [group]).select(
-        group, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
+    return counts.withColumn("_q", by_label[F.col(group)]).select(
+        group, value, "n", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
         (q[0] - reach).alias("low_fence"), (q[2] + reach).alias("high_fence"),
     )
-    return counts.join(F.broadcast(fences), group)  # one row per label
 
 
 def box(visits: DataFrame, value: str, group: str, labels: Sequence[str]) -> DataFrame:

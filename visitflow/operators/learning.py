@@ -222,13 +222,15 @@ def _assembled(matrix: DataFrame, *keep: str) -> DataFrame:
 def _kept(df: DataFrame) -> DataFrame:
     """Persist training data; an input of fewer partitions than cores is first spread over all of them.
 
-    Large inputs already have more partitions than that and are not shuffled.
+    Large inputs already have more partitions than that and are not shuffled. The order by id makes row sampling, and
+    so the model, reproducible.
     """
     data = df.persist(StorageLevel.MEMORY_AND_DISK)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if data.rdd.getNumPartitions() >= cores:
         return data
-    spread = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = data.repartition(cores, "patient_id").sortWithinPartitions("patient_id")
+    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
     data.unpersist()
     return spread
@@ -327,7 +329,7 @@ def segment(
     scaled = segment_features(visits.select("*", *raw), *visits.drop(*SEGMENT_FEATURES).columns,
                               *[f"_{c}" for c in SEGMENT_FEATURES])
     vectors = VectorAssembler(inputCols=list(SEGMENT_FEATURES), outputCol="features").transform(scaled)
-    points = _kept(vectors.select("features"))
+    points = _kept(vectors.select("patient_id", "features"))
 
     kmeans = KMeans(k=n_clusters, maxIter=300, tol=sqrt(SHIFT / n_clusters), predictionCol="cluster")
 
