@@ -45,8 +45,8 @@ def _rounded(operator: Callable[[DataFrame], DataFrame], digits: int, *names: st
 
 
 def _raw_text_parsed(spark: SparkSession, path: str) -> DataFrame:
-    parsed = derive(parse(raw_text(spark, path)))
-    return parsed.select("patient_id", "admission_date", "admission_time", "hour", "year", "month")
+    parsed = parse(raw_text(spark, path, "patient_id", "admission_date", "admission_time"))
+    return derive(parsed, only=("hour", "year", "month"))
 
 
 def _sql(text: str) -> Callable[[DataFrame], DataFrame]:

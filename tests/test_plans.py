@@ -26,7 +26,7 @@ def test_no_products_and_windows_only_over_counts(spark, sf_dir, name):
     assert "BroadcastNestedLoopJoin" not in text
     for window in re.findall(r"Window \[.*", text):
         # Histogram prefixes, rows of one prefix, and label lists: bounded by construction.
-        assert re.search(r"windowspecdefinition\((stratum|slot|feature|prefix|specifiedwindowframe)", window)
+        assert re.search(r"windowspecdefinition\((stratum|slot|feature|prefix|part|specifiedwindowframe)", window)
         assert re.search(r"sum\(n#\d+L\)|dense_rank", window)
     if name not in ("wait_t_test", "score_wait_correlation", "wait_t_statistic", "score_wait_pearson"):
         assert "Python" not in text and "ArrowEval" not in text

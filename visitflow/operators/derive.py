@@ -14,7 +14,7 @@ from visitflow.sources import schema as S
 
 
 def parse(raw: DataFrame, referral_null_mode: str = "literal") -> DataFrame:
-    """Type the text columns; anything that does not parse becomes null.
+    """Type the text columns that are present; anything that does not parse becomes null.
 
     A visit without referral holds the word ``None``. ``referral_null_mode="literal"`` keeps that word and writes it
     for an empty field too; ``"null"`` reads the word as a missing value, so that such rows drop out of department
@@ -27,11 +27,12 @@ def parse(raw: DataFrame, referral_null_mode: str = "literal") -> DataFrame:
         department = F.nullif(department, F.lit("None"))
     else:
         raise ValueError(f"referral_null_mode must be 'literal' or 'null', not {referral_null_mode!r}")
-    return raw.withColumns({
+    parsed = {
         "admission_date": scalars.visit_date(F.col("admission_date")),
         "admission_time": scalars.visit_time(F.col("admission_time")),
         "department_referral": department,
-    })
+    }
+    return raw.withColumns({name: column for name, column in parsed.items() if name in raw.columns})
 
 
 def _derivations(referral_null_mode: str) -> dict[str, Callable[[], Column]]:

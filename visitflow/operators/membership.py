@@ -6,22 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+BROADCAST_KEYS = 1_000_000  # ids of some tens of bytes: well below a hundred megabytes
 
 
-def mark_members(df: DataFrame, keys: DataFrame, key: str, flag: str, salts: int = SALTS) -> DataFrame:
+def _salted(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    repeated = members.withColumn("_member_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(
+        repeated, (F.col(key) == F.col("_member")) & (F.col("_salt") == F.col("_member_salt")), "left"
+    )
+
+
+def mark_members(
+    df: DataFrame, keys: DataFrame, key: str, flag: str, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
     """Add a boolean ``flag``: does the row's key occur in ``keys``?
 
-    A left join to the distinct keys. Rows are spread over ``salts`` sub-keys and the (few, one-column) keys are
-    repeated for each, so rows that share one key do not end in one task. When the keys turn out small, adaptive
-    execution makes it a broadcast join.
+    The distinct keys are counted first, up to ``broadcast_keys``. That many or fewer are broadcast, and the rows are
+    not shuffled. Beyond that the rows are spread over ``SALTS`` sub-keys of their key, and the keys (one column) are
+    repeated for each, so rows that share one key do not end in one task.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
-    distinct = keys.where(F.col(key).isNotNull()).select(key).distinct()
-    members = distinct.select(
-        F.col(key).alias("_member"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_member_salt")
-    )
-    rows = df.withColumn("_salt", salt)
-    joined = rows.join(members, (F.col(key) == F.col("_member")) & (F.col("_salt") == F.col("_member_salt")), "left")
+    members = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_member")).distinct()
+    if members.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        joined = df.join(F.broadcast(members), F.col(key) == F.col("_member"), "left")
+    else:
+        joined = _salted(df, members, key)
     return joined.select(*df.columns, F.col("_member").isNotNull().alias(flag))
 
 

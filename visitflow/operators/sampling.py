@@ -3,7 +3,7 @@
 Every visit gets the MD5 of seed and id; a sample or a test set is the rows up to some rank in that order. Ranking all
 rows with a window would sort each class in one task, and a global top-k would send k rows of every input partition to
 one task. Both are replaced by *cut-offs*: the hash value that sits at the wanted rank, found from a histogram of hash
-prefixes and a look into the one prefix that holds the rank. The rows themselves are then only compared with the
+prefixes, a finer histogram inside the prefix that holds the rank, and a look at the few rows left. The rows themselves are then only compared with the
 cut-off: no shuffle, no sort. Visits that share an id share the hash and stay on one side.
 """
 
@@ -14,7 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 4  # 65,536 prefixes: a rank is searched among 1/65,536 of the rows
+# A rank is searched in the one of 4,096 prefixes that holds it, there in the one of 65,536 parts that holds it, and
+# only then row by row.
+PREFIX_DIGITS = 3
+PART_DIGITS = 4
 
 
 def hash_key(seed: int, column: str = "patient_id") -> Column:
@@ -34,7 +37,8 @@ def first_rank(n: int):
 def cutoffs(df: DataFrame, key: Column, ranks: Sequence, stratum: Column | None = None) -> Column:
     """Hash values at the given ranks, as a scalar map ``stratum -> array of hashes`` (one entry per rank).
 
-    ``ranks`` are functions from a stratum's row count to a rank. The histogram has at most 65,536 rows per stratum.
+    ``ranks`` are functions from a stratum's row count to a rank. The windows run over histograms of at most 4,096 and
+    65,536 rows.
     """
     strata = F.lit("all") if stratum is None else stratum.cast("string")
     hashed = df.select(strata.alias("stratum"), key.alias("key")).withColumn(
@@ -55,16 +59,25 @@ def cutoffs(df: DataFrame, key: Column, ranks: Sequence, stratum: Column | None
         .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
         .select("stratum", "prefix", "slot", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset"))
     )
-    # One edge row per stratum and rank: small by construction, so the join may broadcast it.
+    # One edge row per stratum and rank: small by construction, so the joins with edges may broadcast.
     inside = (
         hashed.join(F.broadcast(edges), ["stratum", "prefix"])
         .groupBy("stratum", "slot", "offset", "key")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("part", F.substring("key", PREFIX_DIGITS + 1, PART_DIGITS))
     )
-    within = Window.partitionBy("stratum", "slot").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    parts = inside.groupBy("stratum", "slot", "offset", "part").agg(F.sum("n").alias("n"))
+    by_part = Window.partitionBy("stratum", "slot").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    part_edges = (
+        parts.withColumn("upto", F.sum("n").over(by_part))
+        .where((F.col("offset") <= F.col("upto")) & (F.col("offset") > F.col("upto") - F.col("n")))
+        .select("stratum", "slot", "part", (F.col("offset") - F.col("upto") + F.col("n")).alias("left"))
+    )
+    by_key = Window.partitionBy("stratum", "slot").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        inside.withColumn("upto", F.sum("n").over(within))
-        .where(F.col("upto") >= F.col("offset"))
+        inside.join(F.broadcast(part_edges), ["stratum", "slot", "part"])
+        .withColumn("upto", F.sum("n").over(by_key))
+        .where(F.col("upto") >= F.col("left"))
         .groupBy("stratum", "slot")
         .agg(F.min("key").alias("key"))
     )

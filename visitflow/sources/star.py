@@ -9,6 +9,8 @@ split on a hot customer.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from visitflow.operators.derive import derive, fill_scores
@@ -72,26 +74,26 @@ def _patients(spark: SparkSession, path: str, with_region: bool) -> DataFrame:
     return patients
 
 
+def _base(
+    spark: SparkSession, path: str, expressions: Mapping[str, str], columns: Collection[str]
+) -> DataFrame:
+    rows = _table(spark, path, "orders")
+    if not _LOOKUPS.keys().isdisjoint(columns):
+        patients = _patients(spark, path, "race" in columns)
+        rows = rows.join(patients, rows.o_custkey == patients.c_custkey, "left")
+    return rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in columns])
+
+
 def visits(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """The named columns of the visit table over the Parquet tables in ``path``; all columns when none is named."""
     wanted = columns or S.ALL_COLUMNS
-    base = {S.DERIVED_FROM.get(c, c) for c in wanted}
-    rows = _table(spark, path, "orders")
-    if base & _LOOKUPS.keys():
-        patients = _patients(spark, path, "race" in base)
-        rows = rows.join(patients, rows.o_custkey == patients.c_custkey, "left")
-    expressions = {**_FACTS, **_LOOKUPS}
-    table = derive(
-        rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in base]), only=wanted
-    )
+    sources = {S.DERIVED_FROM.get(c, c) for c in wanted}
+    table = derive(_base(spark, path, {**_FACTS, **_LOOKUPS}, sources), only=wanted)
     if "satisfaction_score_filled" in wanted:
         table = fill_scores(table)
     return table.select(*wanted)
 
 
-def raw_text(spark: SparkSession, path: str) -> DataFrame:
-    """The same visits as a raw file would hold them, all eleven columns."""
-    orders, patients = _table(spark, path, "orders"), _patients(spark, path, True)
-    rows = orders.join(patients, orders.o_custkey == patients.c_custkey, "left")
-    expressions = {**_RAW_TEXT, **_LOOKUPS}
-    return rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS])
+def raw_text(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The named raw columns (all eleven when none is named) as a file would hold them, before parsing."""
+    return _base(spark, path, {**_RAW_TEXT, **_LOOKUPS}, columns or S.RAW_COLUMNS)
