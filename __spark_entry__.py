@@ -6,17 +6,22 @@ sides.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
-from oracle_queries import ORACLE
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.operators import catalog, charts, filters, kpis, learning, quality, sampling, stats
-from visitflow.operators.derive import derive, parse
-from visitflow.plans.adhoc import preset, report_queries, run_sql
-from visitflow.sources.schema import BROWSE_COLUMNS
-from visitflow.sources.star import raw_text, visits
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from oracle_queries import ORACLE  # noqa: E402
+
+from visitflow.operators import catalog, charts, filters, kpis, learning, quality, sampling, stats  # noqa: E402
+from visitflow.operators.derive import derive, parse  # noqa: E402
+from visitflow.plans.adhoc import preset, report_queries, run_sql  # noqa: E402
+from visitflow.sources.schema import BROWSE_COLUMNS  # noqa: E402
+from visitflow.sources.star import raw_text, visits  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 

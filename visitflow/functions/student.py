@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The function travels to the workers with its helpers, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NORMAL_FROM = 1e7  # degrees of freedom beyond which the normal tail agrees to about 1e-8
 
 

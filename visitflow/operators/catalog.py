@@ -166,6 +166,8 @@ LIBRARY: dict[str, Report] = {
 _RACE_COLUMNS = ("race", "total", "admitted", "admission_rate_pct")
 _HOUR_COLUMNS = ("hour", "patient_count", "avg_wait_min")
 
+# The names of presets and report queries are fixed values.
+
 # The ready-made queries of the SQL explorer, under the names it shows.
 PRESETS: dict[str, Report] = {
     "Patient Volume Summary": lambda v: volume_summary(v).withColumnRenamed(

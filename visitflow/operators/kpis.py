@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from visitflow.functions.numeric import as_text, half_even, percent, share
 from visitflow.sources import schema as S
 
+# --- fixed values: the dimensions of each analysis ----------------------------------------------------------------
 ADMISSION_DIMENSIONS = ("gender", "race", "age_group", "department_referral")
 WAIT_DIMENSIONS = ("day_of_week", "time_of_day", "department_referral")
 SCORE_DIMENSIONS = ("gender", "race", "age_group", "admission_flag")
@@ -22,6 +23,7 @@ FREQUENCY_DIMENSIONS = ("gender", "race", "department_referral", "time_of_day")
 TIME_DIMENSIONS = ("year", "month_name", "day_of_week", "hour")
 
 _DATE_TEXT = "MMM dd, yyyy"
+# --- end of fixed values ------------------------------------------------------------------------------------------
 
 
 def kpi_row(visits: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from visitflow.functions.numeric import half_even, share
 from visitflow.operators.quantiles import medians
 from visitflow.operators.sampling import with_fold, with_test_flag
 
+# --- fixed values: features and training settings -----------------------------------------------------------------
 CATEGORIES = ("gender", "race", "department_referral", "time_of_day", "day_of_week")
 NUMBERS = ("age", "hour", "wait_time")
 FEATURES = CATEGORIES + NUMBERS
@@ -34,10 +35,12 @@ PROFILE_FEATURES = ("age", "wait_time", "satisfaction_score_filled", "is_admitte
 MISSING_LABEL = "nan"  # a missing category is a category of its own, sorted by this text
 SEED = 42
 TREES = 100
-DEPTH = 8
 FOLDS = 5
 STARTS = 10
 SHIFT = 1e-4
+# --- end of fixed values ------------------------------------------------------------------------------------------
+
+DEPTH = 8  # our own limit: each level is a pass over the data
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------

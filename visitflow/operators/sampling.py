@@ -3,8 +3,9 @@
 Every visit gets the MD5 of seed and id; a sample or a test set is the rows up to some rank in that order. Ranking all
 rows with a window would sort each class in one task, and a global top-k would send k rows of every input partition to
 one task. Both are replaced by *cut-offs*: the hash value that sits at the wanted rank, found from a histogram of hash
-prefixes, a finer histogram inside the prefix that holds the rank, and a look at the few rows left. The rows themselves are then only compared with the
-cut-off: no shuffle, no sort. Visits that share an id share the hash and stay on one side.
+prefixes, a finer histogram inside the prefix that holds the rank, and a look at the few rows left. The visits
+themselves are then only compared with the cut-off: no shuffle, no sort. Visits that share an id share the hash and stay
+on one side.
 """
 
 from __future__ import annotations

@@ -27,13 +27,17 @@ TABLES = {
 
 _SECOND = "((o_orderkey * 7919) % 86400)"  # second of the day at which the visit starts
 
+
+
+def _clock(hour: str) -> str:
+    minute, second = f"({_SECOND} % 3600) div 60", f"{_SECOND} % 60"
+    return "concat_ws(':', " + ", ".join(f"lpad(cast({x} AS STRING), 2, '0')" for x in (hour, minute, second)) + ")"
+
+
 _FACTS = {
     "patient_id": "concat('P', lpad(cast(o_orderkey AS STRING), 9, '0'))",
     "admission_date": "CASE WHEN o_orderkey % 997 <> 0 THEN cast(o_orderdate AS DATE) END",
-    "admission_time": f"""CASE WHEN o_orderkey % 89 <> 0 THEN concat_ws(':',
-        lpad(cast({_SECOND} div 3600 AS STRING), 2, '0'),
-        lpad(cast(({_SECOND} % 3600) div 60 AS STRING), 2, '0'),
-        lpad(cast({_SECOND} % 60 AS STRING), 2, '0')) END""",
+    "admission_time": f"CASE WHEN o_orderkey % 89 <> 0 THEN {_clock(f'{_SECOND} div 3600')} END",
     "gender": "CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' ELSE 'Other' END",
     "age": "cast(o_custkey % 101 AS INT)",
     "admission_flag": """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
@@ -55,8 +59,9 @@ _RAW_TEXT = {
     **_FACTS,
     "admission_date": "CASE WHEN o_orderkey % 997 = 0 THEN 'not-a-date' "
                       "ELSE date_format(o_orderdate, 'MM/dd/yyyy') END",
-    "admission_time": "CASE WHEN o_orderkey % 89 = 0 THEN '' "
-                      f"ELSE date_format(timestamp_seconds({_SECOND}), 'hh:mm:ss a') END",
+    "admission_time": f"""CASE WHEN o_orderkey % 89 = 0 THEN ''
+        ELSE concat({_clock(f"({_SECOND} div 3600 + 11) % 12 + 1")},
+                    CASE WHEN {_SECOND} < 43200 THEN ' AM' ELSE ' PM' END) END""",
 }
 
 
