@@ -69,23 +69,18 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}.parquet")
 
 
-def _patients(spark: SparkSession, path: str, with_region: bool) -> DataFrame:
-    patients = _table(spark, path, "customer")
-    if with_region:
-        nation, region = _table(spark, path, "nation"), _table(spark, path, "region")
-        patients = patients.join(nation, patients.c_nationkey == nation.n_nationkey, "left").join(
-            region, nation.n_regionkey == region.r_regionkey, "left"
-        )
-    return patients
-
-
 def _base(
     spark: SparkSession, path: str, expressions: Mapping[str, str], columns: Collection[str]
 ) -> DataFrame:
     rows = _table(spark, path, "orders")
     if not _LOOKUPS.keys().isdisjoint(columns):
-        patients = _patients(spark, path, "race" in columns)
-        rows = rows.join(patients, rows.o_custkey == patients.c_custkey, "left")
+        customer = _table(spark, path, "customer")
+        rows = rows.join(customer, rows.o_custkey == customer.c_custkey, "left")
+    if "race" in columns:
+        # After the customer, so that every side to broadcast is a plain scan, whose size Spark knows.
+        nation, region = _table(spark, path, "nation"), _table(spark, path, "region")
+        rows = rows.join(nation, rows.c_nationkey == nation.n_nationkey, "left")
+        rows = rows.join(region, rows.n_regionkey == region.r_regionkey, "left")
     return rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in columns])
 
 
