@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -306,6 +307,23 @@ _Q: dict[str, Query] = {
 }
 
 
+def _optional(module: str) -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of a part of the library that may be absent."""
+    try:
+        part = import_module(module)
+    except ModuleNotFoundError as error:
+        if error.name is None or not f"{module}.".startswith(f"{error.name}."):
+            raise
+        return {}, {}
+    return part.QUERIES, part.ORACLE
+
+
+for _part in ("visitflow.llm.registry", "corpus_pipeline"):
+    _queries, _oracle = _optional(_part)
+    _Q.update(_queries)
+    ORACLE = {**ORACLE, **_oracle}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: department performance on the smallest data set."""
     return _Q["department_performance"](spark, "/root/testdata/sf0.001")
