@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, toxicity
+from visitflow.llm import decontaminate, linededup, toxicity
 from visitflow.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,18 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.deduplicated(docs).select(
+        "row.doc_id",
+        "n_lines",
+        F.size("gone").alias("n_removed"),
+        F.array_join("gone", ",").alias("removed_lines"),
+        F.crc32(F.coalesce("clean", F.lit("")).cast("binary")).alias("clean_crc32"),
+        "empty",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, usable_labels(table(spark, sf_dir, "labels")))
@@ -45,6 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_line_dedup": op6_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
