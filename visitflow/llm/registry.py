@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, linededup, neardup, toxicity
+from visitflow.llm import decontaminate, linededup, neardup, packing, toxicity
 from visitflow.llm.shared import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +21,11 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, VOCABULARY, digest=True)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.deduplicated(docs).select(
@@ -62,6 +70,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
