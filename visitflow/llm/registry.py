@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, linededup, neardup, packing, toxicity
+from visitflow.llm import decontaminate, linededup, neardup, packing, quality, toxicity
 from visitflow.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, VOCABULARY, digest=True)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & (F.col("posterior") >= quality.KEEP)).alias("kept"),
+        F.round("posterior", 4).alias("posterior"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.deduplicated(docs).select(
@@ -71,6 +82,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
