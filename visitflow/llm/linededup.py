@@ -12,6 +12,8 @@
 Copies go, originals stay: what a line is removed for always stands earlier, so one copy of every passage is left. A
 document that loses all its lines with words goes; one that had none before stays.
 
+Joins are merge joins at every size, since both sides grow with the documents.
+
 Null and empty texts have no chunks and stay as they are. Rows equal in id and text are one document: both stay or are
 cut alike. Rows of a null id come first in the order.
 """
@@ -141,7 +143,7 @@ def copied_lines(docs: DataFrame) -> DataFrame:
     ).where("n > 1")
     # An original takes part with the rest, for its bytes.
     repeated = written(
-        chunks.join(groups, "digest").select(
+        chunks.join(groups.hint("merge"), "digest").select(
             "key", "doc_id", "start", "lines", "digest",
             (F.struct("first.doc_id", "first.key", "first.start").eqNullSafe(place)).alias("original"),
             F.least(_common(F.col("before"), F.col("first.before")), F.col("start")).alias("up"),
@@ -152,13 +154,13 @@ def copied_lines(docs: DataFrame) -> DataFrame:
     wanted = repeated.dropDuplicates(["key", "start", "lines"]).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("start", "lines", "digest", "original", "up", "down"))).alias("ranges")
     )
-    own = docs.select("key", "text").join(wanted, "key")
+    own = docs.select("key", "text").join(wanted.hint("merge"), "key")
     bytes_of = own.select("key", "ranges", _lines_at("text", "ranges").alias("bytes")).select(
         "key", F.explode(F.arrays_zip("ranges", "bytes")).alias("x")
     ).select("key", "x.ranges.*", "x.bytes")
     copies, originals = bytes_of.where(~F.col("original")), bytes_of.where("original")
     first = originals.groupBy("digest").agg(F.first("bytes").alias("same"))
-    confirmed = copies.join(first, "digest").where(F.col("bytes") == F.col("same"))
+    confirmed = copies.join(first.hint("merge"), "digest").where(F.col("bytes") == F.col("same"))
     return confirmed.groupBy("key").agg(F.collect_set(F.struct(
         (F.col("start") - F.col("up")).alias("start"), (F.col("start") + F.col("lines") + F.col("down")).alias("end")
     )).alias("ranges"))
@@ -169,7 +171,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"))
     texts = keyed.select("key", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
     ranges = written(copied_lines(texts), "copied-lines")
-    out = keyed.join(ranges, "key", "left").select("row", _cut("row.text", "ranges").alias("cut"))
+    out = keyed.join(ranges.hint("merge"), "key", "left").select("row", _cut("row.text", "ranges").alias("cut"))
     return out.select("row", "cut.*")
 
 
