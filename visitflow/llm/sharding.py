@@ -4,10 +4,11 @@ Rows of equal texts are one group and stay together. A *partial partition* is a
 its spread is the largest slot's bytes less the smallest's. Differencing takes the two partial partitions of largest
 spread and joins them in opposite order - the largest slot of one with the smallest of the other - until one is left.
 
-At first every group is a partial partition of its own. Groups are dealt to parts by hash and each part is differenced in
-one task; the parts' partial partitions, rows of ``shards`` numbers, are then differenced ``FAN`` at a time, level by
-level, until one is left. Every level writes down which slot went into which, and the groups follow these notes up to
-their shard: no task holds more than a part's groups or ``FAN`` partial partitions.
+Groups are dealt to parts by hash, and each part is differenced in one task. A group larger than what a part brings to a
+shard on average could not be evened out there, so such groups - at most ``shards`` for each part - are dealt to shards
+first, in the same way. What they bring to the shards takes part in the differencing of every part as one partial
+partition, divided by the number of parts, so the parts' groups fill what the large ones leave. No task holds more than a
+part's groups, and the driver sees ``shards`` numbers a level.
 
 A group that is larger than a shard's fair share cannot be divided; it then makes the largest shard, and the rest stay
 equal. Null and empty texts are one group. Repeated rows are counted each. ``slot`` numbers the rows of a shard.
@@ -28,7 +29,6 @@ travels(__name__)
 
 SHARDS = 40
 PART = 4_096  # groups that one task differences
-FAN = 256  # partial partitions that one task differences
 OVERHEAD = 16  # bytes of a row besides its text
 BUCKETS = 1_024  # into which a shard is divided to number its rows
 
@@ -64,55 +64,37 @@ def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tops[root], slots
 
 
-def _first_level(shards: int):
+def _dealer(shards: int, parts: int, base: np.ndarray):
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("digest", kind="stable").reset_index(drop=True)
-        sums = np.zeros((len(rows), shards), np.int64)
-        sums[:, 0] = rows["size"]
-        total, slots = differenced(sums)
-        return pd.DataFrame({
-            "part": rows["part"], "digest": rows["digest"], "slot": slots[:, 0],
-            "sums": [total.tolist() if i == 0 else None for i in range(len(rows))],
-        })
+        part = int(rows["part"].iloc[0])
+        sums = np.zeros((len(rows) + 1, shards), np.int64)
+        sums[0] = base // parts + (part < base % parts)
+        sums[1:, 0] = rows["size"]
+        _, slots = differenced(sums)
+        shard = np.empty(shards, np.int64)
+        shard[slots[0]] = np.arange(shards)  # a slot is the shard whose large groups are in it
+        return pd.DataFrame({"digest": rows["digest"], "size": rows["size"], "shard": shard[slots[1:, 0]]})
 
     return deal
 
 
-def _next_level(shards: int):
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part", kind="stable").reset_index(drop=True)
-        total, slots = differenced(np.array(rows["sums"].tolist(), np.int64))
-        return pd.DataFrame({
-            "part": rows["part"], "parent": rows["parent"], "slots": slots.tolist(),
-            "sums": [total.tolist() if i == 0 else None for i in range(len(rows))],
-        })
-
-    return deal
-
-
-def group_shards(groups: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FAN) -> DataFrame:
-    """``digest`` and ``shard`` of every group. ``groups``: ``digest`` (once each) and ``size``."""
-    parts = max(1, -(-groups.count() // part))
-    dealt = groups.select(
-        F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("bigint").alias("part"), "digest",
-        F.col("size").cast("bigint").alias("size"),
-    )
-    placed = written(dealt.groupBy("part").applyInPandas(
-        _first_level(shards), "part bigint, digest binary, slot int, sums array<bigint>"), "parts")
-    level = placed.where(F.col("sums").isNotNull()).select("part", "sums")
-    placed = placed.select("digest", "part", "slot")
-    while parts > 1:
-        parts = -(-parts // fan)
-        joined = written(
-            level.withColumn("parent", F.pmod(F.xxhash64("part"), F.lit(parts)).cast("bigint")).groupBy("parent")
-            .applyInPandas(_next_level(shards), "part bigint, parent bigint, slots array<int>, sums array<bigint>"),
-            "parts",
-        )
-        moved = joined.select("part", "parent", "slots")
-        placed = placed.join(moved, "part").select(
-            "digest", F.col("parent").alias("part"), F.get("slots", F.col("slot")).alias("slot"))
-        level = joined.where(F.col("sums").isNotNull()).select(F.col("parent").alias("part"), "sums")
-    return placed.select("digest", F.col("slot").alias("shard"))
+def group_shards(groups: DataFrame, shards: int = SHARDS, part: int = PART) -> DataFrame:
+    """``digest``, ``size`` and ``shard`` of every group. ``groups``: ``digest`` (once each) and ``size``."""
+    groups = groups.select("digest", F.col("size").cast("bigint").alias("size"))
+    seen = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).first()
+    parts = max(1, -(-seen["n"] // part))
+    base, done = np.zeros(shards, np.int64), None
+    if parts > 1:
+        large = F.col("size") > int(seen["total"]) // (shards * parts)
+        done = written(group_shards(groups.where(large), shards, part), "large-groups")
+        for row in done.groupBy("shard").agg(F.sum("size").alias("size")).collect():
+            base[row["shard"]] = row["size"]
+        groups = groups.where(~large)
+    dealt = groups.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("bigint"))
+    placed = dealt.groupBy("part").applyInPandas(
+        _dealer(shards, parts, base), "digest binary, size bigint, shard int")
+    return placed if done is None else placed.unionByName(done)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -123,7 +105,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.unhex(F.sha2(raw, 256)).alias("digest"),
     ).withColumn("id", F.monotonically_increasing_id()), "sizes")
     groups = written(rows.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
-    placed = written(rows.join(group_shards(groups, shards), "digest").withColumn(
+    placed = written(rows.join(group_shards(groups, shards).select("digest", "shard"), "digest").withColumn(
         "bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")), "placed")
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row for each shard and bucket, so the window sorts at most BUCKETS rows of a shard.
