@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, linededup, neardup, packing, quality, sharding, toxicity, urlfilter
+from visitflow.llm import decontaminate, linededup, neardup, packing, quality, sharding, toxicity, urlfilter, warc
 from visitflow.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -108,6 +113,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
@@ -120,6 +126,15 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _WORDS_9 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op4_warc": """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM payloads),
+winners AS (SELECT payload_digest, max(page_id) AS winner FROM digests WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN winner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN winner <> page_id THEN winner END AS refers_to
+FROM digests LEFT JOIN winners USING (payload_digest)
+""",
     "op9_decontamination": f"""
 WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS_9} AS w FROM benchmark WHERE text IS NOT NULL
