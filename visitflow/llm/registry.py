@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, linededup, neardup, packing, quality, sharding, toxicity, urlfilter, warc
+from visitflow.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, toxicity, urlfilter, warc
 from visitflow.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, VOCABULARY, digest=True)
 
 
+# --- fixed values: licence statements ------------------------------------------------------------------------------
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("all-rights-reserved", "All rights reserved."),
+)
+# --- end of fixed values -------------------------------------------------------------------------------------------
+LICENSE_SHARE = 0.1  # of a document's words that makes it the licence file of its directory
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/<thousand>/<id>``."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    values = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+    templates = spark.sql(f"SELECT * FROM VALUES {values} AS templates(license, text)")
+    return licenses.scanned(docs, templates, share=LICENSE_SHARE).select(
+        "row.doc_id", "row.path", "license", "similarity", "how", "from_directory")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -112,6 +134,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
