@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from oracle_queries import ORACLE  # noqa: E402
+from oracle_queries import CENTROIDS, ORACLE  # noqa: E402
 
 from visitflow.operators import catalog, charts, filters, kpis, learning, quality, sampling, stats  # noqa: E402
-from visitflow.operators.derive import derive, parse  # noqa: E402
+from visitflow.operators.derive import derive, parse, relabel_time_of_day  # noqa: E402
 from visitflow.plans.adhoc import preset, report_queries, run_sql  # noqa: E402
 from visitflow.sources.schema import BROWSE_COLUMNS  # noqa: E402
 from visitflow.sources.star import raw_text, visits  # noqa: E402
@@ -32,6 +32,8 @@ _ALERT = ("patient_id", "age", "gender", "race", "department_referral", "wait_ti
 _LOW = ("race", "gender", "age_group", "department_referral", "wait_time", "satisfaction_score")
 _MONTHS = ("year", "month", "month_name", "wait_time")
 _HOURS = ("hour", "admission_flag", "wait_time")
+_POINT = ("patient_id", "age", "wait_time")
+_SHORT = {"unknown": "Unknown", "morning": "Morning", "afternoon": "Afternoon", "evening": "Evening", "night": "Night"}
 _FEATURES = ("patient_id", *learning.FEATURES)
 _SEGMENT = ("patient_id", *learning.SEGMENT_FEATURES)
 
@@ -88,6 +90,28 @@ def _quarantined(df: DataFrame) -> DataFrame:
     return bad.select("patient_id", F.concat_ws(",", quality.VIOLATIONS).alias("violations"))
 
 
+def _order_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Order keys of line items read as ids: a table in which real ids repeat."""
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey")
+    return quality.duplicate_ids(lines.select(F.expr("format_string('P%09d', l_orderkey)").alias("patient_id")))
+
+
+def _departments_filled(spark: SparkSession, path: str) -> DataFrame:
+    """Raw text in which one department is an empty field."""
+    raw = raw_text(spark, path, "patient_id", "department_referral")
+    return parse(raw.withColumn("department_referral", F.nullif("department_referral", F.lit("HOUSEHOLD"))))
+
+
+def _quick_chart(df: DataFrame) -> DataFrame:
+    counts = df.groupBy(F.col("department_referral").alias("department")).agg(F.count(F.lit(1)).alias("visits"))
+    return charts.quick_chart(counts.orderBy(F.desc("visits"), "department"), 3)
+
+
+def _assigned(df: DataFrame) -> DataFrame:
+    points = df.where(F.col("wait_time").isNotNull()).withColumns({"x": F.col("age") / 10, "y": F.col("wait_time") / 10})
+    return learning.nearest(points, CENTROIDS, ["x", "y"])
+
+
 def _trained(train: Callable[[DataFrame], learning.Trained], pick: Callable[[learning.Trained], DataFrame]):
     return lambda df: pick(train(df))
 
@@ -106,9 +130,9 @@ _Q: dict[str, Query] = {
     # filters
     "selected_visits": _on(
         lambda v: filters.select_visits(
-            v, [1996, 1997, 1999], ["Female", "Male"], ["BUILDING", "None"], "Admitted Only"
-        ).drop("admission_date"),
-        "patient_id", "admission_date", "year", "gender", "department_referral", "admission_flag",
+            v, [1996, 1997, 1999], ["Female", "Male"], ["BUILDING", "None"], "Admitted Only", "o_orderdate"
+        ).drop("o_orderdate"),
+        "patient_id", "o_orderdate", "year", "gender", "department_referral", "admission_flag",
     ),
     "not_admitted_visits": _on(
         lambda v: filters.admission(v, "Not Admitted Only"), "patient_id", "admission_flag"
@@ -234,8 +258,8 @@ _Q: dict[str, Query] = {
     "chart_score_wait_points": _on(
         charts.score_wait_points, "wait_time", "satisfaction_score", "admission_flag"
     ),
-    "chart_score_wait_sample": _on(
-        charts.score_wait_sample, "patient_id", "wait_time", "satisfaction_score", "admission_flag"
+    "chart_score_wait_visits": _on(
+        charts.score_wait_visits, "patient_id", "wait_time", "satisfaction_score", "admission_flag"
     ),
     "chart_score_density": _on(
         _rounded(charts.score_density_by_age_group, 4, "satisfaction_score", "density"),
@@ -303,6 +327,14 @@ _Q: dict[str, Query] = {
     "duplicate_ids": _on(
         lambda v: quality.duplicate_ids(v.select(F.col("patient_name").alias("patient_id"))), "patient_name"
     ),
+    "duplicate_order_ids": _order_ids,
+    "departments_filled": _departments_filled,
+    "short_time_labels": _on(
+        lambda v: relabel_time_of_day(v, _SHORT).groupBy("time_of_day").agg(F.count(F.lit(1)).alias("visits")), "hour"
+    ),
+    "quick_chart_of_departments": _on(_quick_chart, "department_referral"),
+    "assigned_segments": _on(lambda v: _assigned(v).select("patient_id", "cluster"), *_POINT),
+    "assigned_inertia": _on(_rounded(lambda v: learning.inertia(_assigned(v)), 2, "inertia"), *_POINT),
     "table_shape": _on(quality.shape),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 VISITS = """
 WITH base AS (
   SELECT
-    'P' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS patient_id,
+    CASE WHEN o_orderkey IS NOT NULL THEN printf('P%09d', o_orderkey) END AS patient_id,
     CASE WHEN o_orderkey % 997 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS admission_date,
     CASE WHEN o_orderkey % 89 = 0 THEN NULL
          ELSE strftime(TIMESTAMP '1970-01-01' + to_seconds((o_orderkey * 7919) % 86400), '%H:%M:%S')
@@ -56,6 +56,9 @@ visits AS (
   FROM base
 )"""
 
+# Irrational offsets: no visit lies as far from one centroid as from another.
+CENTROIDS = ((2.0137, 1.0271), (7.0419, 1.5113), (3.0293, 5.0377), (8.0511, 9.0173))
+
 # Shared fragments of the grouped SQL reports.
 RATE = "round(100.0 * count(*) FILTER (admission_flag = 'Admission') / count(*), 2) AS admission_rate_pct"
 WAIT = "round(avg(wait_time), 2)"
@@ -155,6 +158,19 @@ def _segment_features() -> str:
     return f", imputed AS (SELECT patient_id, {imputed} FROM visits) SELECT patient_id, {scaled} FROM imputed"
 
 
+def _assigned(wanted: str = "") -> str:
+    """Visits assigned to the nearest of four fixed centroids in (age / 10, wait / 10)."""
+    points = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(CENTROIDS))
+    out = wanted.replace("sum(distance)", "round(sum(distance), 2)") or "patient_id, cluster"
+    return f""", centroids(cluster, x, y) AS (VALUES {points}), near AS (
+      SELECT patient_id, CAST(cluster AS INT) AS cluster,
+             pow(age / 10.0 - x, 2) + pow(wait_time / 10.0 - y, 2) AS distance,
+             row_number() OVER (PARTITION BY patient_id ORDER BY pow(age / 10.0 - x, 2) + pow(wait_time / 10.0 - y, 2),
+                                cluster) AS rn
+      FROM visits, centroids WHERE wait_time IS NOT NULL
+    ) SELECT {out} FROM near WHERE rn = 1"""
+
+
 # Stand-in predictions that depend on the data only, for the metric queries.
 PREDICTED = """, predicted AS (
   SELECT CAST(is_admitted AS INT) AS label, CAST(coalesce(wait_time, 0) > 30 AS INT) AS prediction FROM visits
@@ -248,13 +264,33 @@ def _density() -> str:
                       * pow(count(*), -0.2), (max(s) - min(s)) / 100) AS h
       FROM scored GROUP BY age_group
     ), grid AS (
-      SELECT *, lo + (hi - lo) * point / 100.0 AS x FROM shape, (SELECT CAST(range AS INT) AS point FROM range(101))
+      SELECT *, lo - 4 * h + (hi - lo + 8 * h) * point / 100.0 AS x FROM shape, (SELECT CAST(range AS INT) AS point FROM range(101))
     ), weights AS (SELECT age_group, s, count(*) AS n FROM scored GROUP BY age_group, s)
     SELECT g.age_group, point, round(x, 4) AS satisfaction_score,
            round(sum(n * exp(-0.5 * pow((x - s) / h, 2))) / (size * h * 2.5066282746310002), 4) AS density
     FROM grid g JOIN weights w ON g.age_group = w.age_group GROUP BY g.age_group, point, x, size, h"""
 
 
+# Two-sided p-value of Student's t in ``tested (t, df)``: the density integrated from 0 to |t| by Simpson's rule.
+_P_VALUE = """, steps AS (
+  SELECT CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight, abs(t) * i / 20000 AS u, df, t
+  FROM tested, (SELECT range AS i FROM range(20001))
+), tails AS (
+  SELECT 1 - 2 * any_value(abs(t)) / 60000 * sum(weight * exp(
+    lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - 0.5 * ln(df * pi()) - (df + 1) / 2.0 * ln(1 + u * u / df))) AS p FROM steps
+), rounded AS (SELECT round_even(greatest(p, 0) * 10000, 0) / 10000 AS p_value FROM tails)"""
+_VERDICT = "CASE WHEN p_value < 0.05 THEN 'significant' WHEN p_value IS NOT NULL THEN 'not significant' END AS verdict"
+
+_T_TEST = """, s AS (
+      SELECT count(wait_time) FILTER (is_admitted) AS n1, count(wait_time) FILTER (NOT is_admitted) AS n0,
+             avg(wait_time) FILTER (is_admitted) AS m1, avg(wait_time) FILTER (NOT is_admitted) AS m0,
+             var_samp(wait_time) FILTER (is_admitted) AS v1, var_samp(wait_time) FILTER (NOT is_admitted) AS v0
+      FROM visits
+    ), tested AS (
+      SELECT (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t,
+             n1 + n0 - 2 AS df FROM s
+    )"""
+
 _HEAT = ", ".join(f"avg(wait_time) FILTER (hour = {h}) AS h{h:02d}" for h in range(24))
 _WEEKDAYS = "(VALUES ('Monday'), ('Tuesday'), ('Wednesday'), ('Thursday'), ('Friday'), ('Saturday'), ('Sunday'))"
 _AGE_GROUPS = (
@@ -400,6 +436,12 @@ _BODIES: dict[str, str] = {
     )
     SELECT round_even((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0))
                       * 10000, 0) / 10000 AS t_stat, n1 + n0 - 2 AS df FROM s""",
+    "wait_t_test": _T_TEST + _P_VALUE + f"""
+      SELECT round_even(t * 10000, 0) / 10000 AS t_stat, df, p_value, {_VERDICT} FROM tested, rounded""",
+    "score_wait_correlation": f""", r AS (
+      SELECT corr(satisfaction_score, wait_time) AS r, count(*) AS n FROM {_PAIRS}
+    ), tested AS (SELECT r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM r){_P_VALUE}
+      SELECT n, round_even(r * 10000, 0) / 10000 AS pearson_r, p_value, {_VERDICT} FROM r, rounded""",
     "score_wait_pearson": f"SELECT count(*) AS n, round_even(corr(satisfaction_score, wait_time) * 10000, 0) / 10000 "
                           f"AS pearson_r FROM {_PAIRS}",
     "trend": "SELECT round(regr_slope(satisfaction_score, wait_time), 6) AS slope, "
@@ -452,8 +494,8 @@ _BODIES: dict[str, str] = {
     "chart_score_wait_points": _count(
         "wait_time, satisfaction_score, admission_flag", "wait_time IS NOT NULL AND satisfaction_score IS NOT NULL"
     ),
-    "chart_score_wait_sample": "SELECT patient_id, wait_time, satisfaction_score, admission_flag FROM visits "
-                               f"WHERE satisfaction_score IS NOT NULL {_SAMPLE} 2000",
+    "chart_score_wait_visits": "SELECT patient_id, wait_time, satisfaction_score, admission_flag FROM visits "
+                               "WHERE satisfaction_score IS NOT NULL",
     "chart_score_density": _density(),
     "chart_score_box": _box("satisfaction_score", "age_group") + _box_rows("satisfaction_score", "age_group", ""),
     "chart_score_outliers": _box("satisfaction_score", "age_group")
@@ -509,6 +551,18 @@ _BODIES: dict[str, str] = {
                           "WHERE admission_date IS NULL",
     "duplicate_ids": "SELECT patient_name AS patient_id, count(*) AS n FROM visits WHERE patient_name IS NOT NULL "
                      "GROUP BY patient_name HAVING count(*) > 1",
+    "duplicate_order_ids": "SELECT printf('P%09d', l_orderkey) AS patient_id, count(*) AS n FROM lineitem "
+                           "GROUP BY l_orderkey HAVING count(*) > 1",
+    "departments_filled": "SELECT patient_id, CASE WHEN department_referral = 'HOUSEHOLD' THEN 'None' "
+                          "ELSE department_referral END AS department_referral FROM visits",
+    "short_time_labels": """SELECT time_of_day, count(*) AS visits FROM (
+      SELECT CASE WHEN hour IS NULL THEN 'Unknown' WHEN hour BETWEEN 6 AND 11 THEN 'Morning'
+        WHEN hour BETWEEN 12 AND 17 THEN 'Afternoon' WHEN hour BETWEEN 18 AND 23 THEN 'Evening' ELSE 'Night' END
+        AS time_of_day FROM visits) GROUP BY time_of_day""",
+    "quick_chart_of_departments": "SELECT department_referral AS department, count(*) AS visits FROM visits "
+                                  "GROUP BY 1 ORDER BY visits DESC, department LIMIT 3",
+    "assigned_segments": _assigned(),
+    "assigned_inertia": _assigned("sum(distance) AS inertia, count(*) AS visits"),
     "table_shape": "SELECT count(*) AS n_rows, CAST(23 AS INT) AS n_columns, "
                    "count(*) FILTER (patient_id IS NULL AND age IS NULL) AS empty_rows, "
                    "min(age) AS min_age, max(age) AS max_age FROM visits",

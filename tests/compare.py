@@ -22,7 +22,7 @@ def connect(path: str):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("region", "nation", "customer", "orders"):
+    for table in ("region", "nation", "customer", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet')")
     return con
 

@@ -1,5 +1,7 @@
 """Every registered query with a SQL twin, against DuckDB on the same tables."""
 
+import re
+
 import compare
 import pytest
 
@@ -10,7 +12,7 @@ QUERIES = entry_module.queries()
 
 # Iterative models and p-values have no SQL form; their own tests cover them.
 WITHOUT_SQL = {
-    "wait_t_test", "score_wait_correlation", "admission_model_metrics", "admission_model_report",
+    "admission_model_metrics", "admission_model_report",
     "admission_importances", "score_model_metrics", "score_importances", "patient_segments", "segment_scatter",
 }
 
@@ -26,7 +28,8 @@ def test_same_result(spark, sf_dir, con, name):
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    visits = {name for name in QUERIES if not re.match(r"op\d+_|pipeline$", name)}  # the others have their own tests
+    assert visits - set(ORACLE) == WITHOUT_SQL
     assert set(ORACLE) <= set(QUERIES)
 
 

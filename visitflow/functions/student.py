@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 # The function travels to the workers with its helpers, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NORMAL_FROM = 1e7  # degrees of freedom beyond which the normal tail agrees to about 1e-8
+STEPS = 1_000_000
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The fraction ``1 + d1/(1 + d2/(1 + ...))`` of the incomplete beta function (DLMF 8.17.22)."""
     value, upper, lower = 1.0, 1.0, 0.0
-    for j in range(1, 50_000):
+    for j in range(1, STEPS):
         m = j // 2
         if j % 2:
             d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
@@ -29,15 +29,30 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         upper = 1.0 + d / upper
         value *= upper * lower
         if abs(upper * lower - 1.0) < 1e-14:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the incomplete beta function did not converge for a={a}, b={b}, x={x}")
 
 
-def _incomplete_beta(a: float, b: float, x: float, rest: float) -> float:
-    """Regularised incomplete beta; ``rest`` is ``1 - x``, passed in so that it keeps its digits."""
+def _log_gamma_step(a: float) -> float:
+    """``ln gamma(a + 1/2) - ln gamma(a)``, to full precision however large ``a`` is (DLMF 5.11.13).
+
+    The difference of two logarithms of the gamma function loses a digit with every power of ten.
+    """
+    out = 0.0
+    while a < 32:
+        out += math.log(a / (a + 0.5))
+        a += 1
+    return out + 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5) + 17 / (14336 * a**7)
+
+
+def _incomplete_beta(a: float, x: float, rest: float) -> float:
+    """Regularised incomplete beta with ``b`` 1/2; ``rest`` is ``1 - x``, passed in so that it keeps its digits."""
+    b = 0.5
     if x <= 0.0 or rest <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(rest)
+    # x is 1 - rest: its logarithm from the smaller of the two.
+    log_x = math.log1p(-rest) if rest < 0.5 else math.log(x)
+    log_front = _log_gamma_step(a) - 0.5 * math.log(math.pi) + a * log_x + b * math.log(rest)
     if x < (a + 1) / (a + b + 2):
         return math.exp(log_front) / (a * _beta_fraction(a, b, x))
     return 1.0 - math.exp(log_front) / (b * _beta_fraction(b, a, rest))
@@ -47,9 +62,7 @@ def two_sided_p(t: float | None, df: float | None) -> float | None:
     """P(|T| >= |t|) with ``df`` degrees of freedom; None when the statistic is undefined."""
     if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return None
-    if df > NORMAL_FROM:
-        return math.erfc(abs(t) / math.sqrt(2.0))
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
+    return _incomplete_beta(df / 2.0, df / (df + t * t), t * t / (df + t * t))
 
 
 def p_value(t: Column, df: Column) -> Column:

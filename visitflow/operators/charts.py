@@ -189,10 +189,14 @@ def score_outliers_by_age_group(visits: DataFrame) -> DataFrame:
     return outlier_points(visits, "satisfaction_score", "age_group", S.AGE_GROUPS)
 
 
+TAIL = 4  # bandwidths
+
+
 def score_density_by_age_group(visits: DataFrame, points: int = 101) -> DataFrame:
-    """Gaussian kernel density of the score per age group on an even grid over the group's range.
+    """Gaussian kernel density of the score per age group on an even grid, the whole curve of a violin.
 
-    Bandwidth by Silverman's rule, at least a hundredth of the range. The sums run over distinct scores, not visits.
+    Bandwidth by Silverman's rule, at least a hundredth of the range. The grid runs ``TAIL`` bandwidths past the lowest
+    and the highest score, where the curve has come down to nothing. The sums run over distinct scores, not visits.
     """
     v, n, q = F.col("satisfaction_score"), F.col("n"), F.col("q")
     counts = value_counts(visits.where(F.col("age_group").isin(*S.AGE_GROUPS)), "satisfaction_score", ["age_group"])
@@ -207,7 +211,8 @@ def score_density_by_age_group(visits: DataFrame, points: int = 101) -> DataFram
     )
     rule = 1.059 * F.least(F.col("std"), (q[1] - q[0]) / 1.349) * F.pow(F.col("size"), F.lit(-0.2))
     per_group = per_group.withColumn("width", F.greatest(rule, (F.col("high") - F.col("low")) / 100))
-    x = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(points - 1)
+    first, span = F.col("low") - TAIL * F.col("width"), F.col("high") - F.col("low") + 2 * TAIL * F.col("width")
+    x = first + span * F.col("point") / F.lit(points - 1)
     kernel = F.exp(-0.5 * F.pow(F.try_divide(F.col("x") - v, F.col("width")), F.lit(2.0)))
     root = 2.5066282746310002  # square root of 2 pi
     return (
@@ -251,11 +256,10 @@ def score_wait_points(visits: DataFrame) -> DataFrame:
     return _counts(visits, "wait_time", "satisfaction_score", "admission_flag")
 
 
-def score_wait_sample(visits: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
-    """Single visits of that scatter, an exact sample."""
+def score_wait_visits(visits: DataFrame) -> DataFrame:
+    """Every visit of that scatter."""
     scored = visits.where(F.col("satisfaction_score").isNotNull())
-    columns = ("patient_id", "wait_time", "satisfaction_score", "admission_flag")
-    return sample_exact(scored.select(*columns), n, seed)
+    return scored.select("patient_id", "wait_time", "satisfaction_score", "admission_flag")
 
 
 def segment_scatter(clustered: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:

@@ -14,11 +14,10 @@ def _one_of(column: Column, values: Sequence) -> Column:
     return column.isin(*values) if values else F.lit(False)
 
 
-def _date_span(years: Sequence[int]) -> Column:
+def _date_span(years: Sequence[int], column: str, kind: str) -> Column:
     """Implied by ``year IN years``; unlike the year itself it is a plain comparison the Parquet scan can use."""
-    date = F.col("admission_date")
-    first, last = f"{min(years):04d}-01-01", f"{max(years):04d}-12-31"
-    return (date >= F.lit(first).cast("date")) & (date <= F.lit(last).cast("date"))
+    first, after = f"{min(years):04d}-01-01", f"{max(years) + 1:04d}-01-01"
+    return (F.col(column) >= F.lit(first).cast(kind)) & (F.col(column) < F.lit(after).cast(kind))
 
 
 def admission(visits: DataFrame, status: str = "All") -> DataFrame:
@@ -36,13 +35,16 @@ def select_visits(
     genders: Sequence[str] | None = None,
     departments: Sequence[str] | None = None,
     status: str = "All",
+    stored_date: str = "admission_date",
 ) -> DataFrame:
     """Visits whose year, gender and department are among the selected values; a missing value never matches.
 
-    ``None`` stands for every value there is, an empty list for no value at all.
+    ``None`` stands for every value there is, an empty list for no value at all. ``stored_date`` names a stored date or
+    time column that is the visit's date wherever the visit has one: the years imply a range of it, which the scan can
+    use even where ``admission_date`` itself is derived.
     """
     if years:
-        visits = visits.where(_date_span(years))
+        visits = visits.where(_date_span(years, stored_date, visits.schema[stored_date].dataType.simpleString()))
     for name, values in (("year", years), ("gender", genders), ("department_referral", departments)):
         column = F.col(name)
         visits = visits.where(column.isNotNull() if values is None else _one_of(column, values))

@@ -87,6 +87,54 @@ def feature_matrix(visits: DataFrame, *keep: str) -> tuple[DataFrame, StringInde
     return coded.select(*keep, *codes, *NUMBERS), encoder
 
 
+def nearest(points: DataFrame, centroids: Sequence[Sequence[float]], columns: Sequence[str]) -> DataFrame:
+    """Add ``cluster``, the nearest of fixed centroids (ties: the first), and ``distance``, squared, to it."""
+    features = [F.col(c).cast("double") for c in columns]
+    ranked = [
+        F.struct(
+            sum(((f - F.lit(float(x))) ** 2 for f, x in zip(features[1:], centre[1:], strict=True)),
+                (features[0] - F.lit(float(centre[0]))) ** 2).alias("distance"),
+            F.lit(i).alias("cluster"),
+        )
+        for i, centre in enumerate(centroids)
+    ]
+    best = F.array_min(F.array(*ranked))
+    return points.withColumn("_best", best).withColumns(
+        {"cluster": F.col("_best.cluster"), "distance": F.col("_best.distance")}).drop("_best")
+
+
+def inertia(assigned: DataFrame) -> DataFrame:
+    """Within-cluster sum of squares and number of points: one row."""
+    return assigned.agg(F.sum("distance").alias("inertia"), F.count(F.lit(1)).alias("visits"))
+
+
+def _value_counts(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows ``feature, value, n`` of all values of the columns, missing ones too: one pass over the visits."""
+    long = visits.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "feature", "value")
+    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit_scale(visits: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None, float | None]]:
+    """Median of each column, and mean and population deviation once its missing values are that median.
+
+    All of them come from the value counts of one pass, fetched as one row for each column.
+    """
+    counts = _value_counts(visits, columns)
+    middle = counts.where(F.col("value").isNotNull()).groupBy("feature").agg(
+        F.percentile("value", F.lit(0.5), F.col("n")).alias("m"))
+    filled = counts.join(F.broadcast(middle), "feature").select(  # one row for each column
+        "feature", "m", "n", F.coalesce("value", "m").alias("v"))
+    n, v = F.col("n"), F.col("v")
+    centred = filled.groupBy("feature", "m").agg(
+        (F.sum(n * v) / F.sum(n)).alias("mean"), F.collect_list(F.struct("n", "v")).alias("all"))
+    square = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["n"] * (x["v"] - F.col("mean")) ** 2)
+    weight = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["n"])
+    rows = centred.select("feature", "m", "mean", F.sqrt(square / weight).alias("std")).collect()
+    found = {r["feature"]: (r["m"], r["mean"], r["std"]) for r in rows}
+    return {c: found.get(c, (None, None, None)) for c in columns}
+
+
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre each column and divide by its population deviation; a constant column becomes 0."""
     fitted = df.agg(
@@ -101,8 +149,15 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def segment_features(visits: DataFrame, *keep: str) -> DataFrame:
-    """Imputed and standardized segmentation features."""
-    return standardize(impute(visits, SEGMENT_FEATURES), SEGMENT_FEATURES).select(*keep, *SEGMENT_FEATURES)
+    """Imputed and standardized segmentation features; a constant column becomes 0."""
+    fitted = fit_scale(visits, SEGMENT_FEATURES)
+
+    def scaled(c: str) -> Column:
+        middle, mean, std = fitted[c]
+        value = F.coalesce(F.col(c).cast("double"), F.lit(middle).cast("double"))
+        return (value - F.lit(mean)) / F.lit(std) if std else F.when(value.isNotNull(), F.lit(0.0))
+
+    return visits.withColumns({c: scaled(c) for c in SEGMENT_FEATURES}).select(*keep, *SEGMENT_FEATURES)
 
 
 # --- metrics on predictions ---------------------------------------------------------------------------------------
@@ -222,21 +277,15 @@ def _assembled(matrix: DataFrame, *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(matrix).select(*keep, "features")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Persist training data; an input of fewer partitions than cores is first spread over all of them.
+def _kept(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Persist training data in one layout, whatever the layout of the input.
 
-    Large inputs already have more partitions than that and are not shuffled. The order by id makes row sampling, and
-    so the model, reproducible.
+    MLlib's bagging and starting points follow partitions and the order in them; the rows are dealt by id to a fixed
+    number of partitions (by default that of shuffles) and sorted, so equal rows give equal models.
     """
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() >= cores:
-        return data
-    spread = data.repartition(cores, "patient_id").sortWithinPartitions("patient_id")
-    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    data.unpersist()
-    return spread
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["patient_id", *(F.col(c).cast("string") for c in df.columns if c != "patient_id")]
+    return df.repartition(n, "patient_id").sortWithinPartitions(*order).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _bins(encoder: StringIndexerModel) -> int:

@@ -5,35 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-BROADCAST_KEYS = 1_000_000  # ids of some tens of bytes: well below a hundred megabytes
 
+def _members(keys: DataFrame, key: str) -> DataFrame:
+    return keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_member"))
 
-def _salted(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    repeated = members.withColumn("_member_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(
-        repeated, (F.col(key) == F.col("_member")) & (F.col("_salt") == F.col("_member_salt")), "left"
-    )
 
-
-def mark_members(
-    df: DataFrame, keys: DataFrame, key: str, flag: str, broadcast_keys: int = BROADCAST_KEYS
-) -> DataFrame:
+def mark_members(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """Add a boolean ``flag``: does the row's key occur in ``keys``?
 
-    The distinct keys are counted first, up to ``broadcast_keys``. That many or fewer are broadcast, and the rows are
-    not shuffled. Beyond that the rows are spread over ``SALTS`` sub-keys of their key, and the keys (one column) are
-    repeated for each, so rows that share one key do not end in one task.
+    One left join with the distinct keys. Whether they are broadcast is Spark's choice, by their size, and a hot key of
+    a sort-merge join is split by adaptive execution.
     """
-    members = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_member")).distinct()
-    if members.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        joined = df.join(F.broadcast(members), F.col(key) == F.col("_member"), "left")
-    else:
-        joined = _salted(df, members, key)
+    joined = df.join(_members(keys, key).distinct(), F.col(key) == F.col("_member"), "left")
     return joined.select(*df.columns, F.col("_member").isNotNull().alias(flag))
 
 
 def members_only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``keys``; a semi join, which adaptive execution can split on a hot key."""
-    return df.join(keys.where(F.col(key).isNotNull()).select(key), key, "left_semi")
+    return df.join(_members(keys, key), F.col(key) == F.col("_member"), "left_semi")

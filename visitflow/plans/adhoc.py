@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from visitflow.operators import catalog
 from visitflow.sources.files import register
@@ -18,20 +20,41 @@ class SqlResult:
     data: DataFrame | None = None
     error: str | None = None
 
+    def execute(self) -> list[Row]:
+        """The rows of the result; an error while the query runs becomes ``error`` and gives no rows."""
+        return self._run(lambda data: data.collect(), [])
+
     def rows(self) -> int:
-        """Number of result rows (runs the query)."""
-        return 0 if self.data is None else self.data.count()
+        """Number of result rows (runs the query); an error while it runs becomes ``error``."""
+        return self._run(lambda data: data.count(), 0)
+
+    def _run(self, action, nothing):
+        if self.data is None:
+            return nothing
+        try:
+            return action(self.data)
+        except PySparkException as error:
+            self.data, self.error = None, str(error)
+            return nothing
 
 
 def run_sql(visits: DataFrame, text: str) -> SqlResult:
-    """Run a SELECT (Spark SQL) against the table ``patients``, the given visits. No data is copied."""
-    if not text.strip():
+    """Run one query (Spark SQL) against the table ``patients``, the given visits. No data is copied.
+
+    The text is read as a subquery, so statements that change anything are syntax errors, and the name ``patients``
+    belongs to this call alone: its view has a name of its own and is gone when the query is analysed.
+    """
+    query = re.sub(r"[\s;]+$", "", text)
+    if not query.strip():
         return SqlResult()
-    register(visits)
+    spark, view = visits.sparkSession, f"patients_{uuid4().hex}"
+    register(visits, view)
     try:
-        return SqlResult(data=visits.sparkSession.sql(text))
+        return SqlResult(data=spark.sql(f"WITH patients AS (SELECT * FROM {view}) SELECT * FROM (\n{query}\n)"))
     except PySparkException as error:
         return SqlResult(error=str(error))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def preset(visits: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,9 @@ from visitflow.operators.derive import derive, fill_scores, parse, sql_view
 from visitflow.sources import schema as S
 
 
+CSV = {"quote": '"', "escape": '"'}  # a quote inside a quoted field is doubled
+
+
 def _number(text: Column, kind: T.DataType) -> Column:
     """The number a field holds; null when it holds something else (for whole numbers, also a fraction)."""
     value = text.try_cast("double")
@@ -22,18 +25,40 @@ def _number(text: Column, kind: T.DataType) -> Column:
     return value
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def _header_widths(spark: SparkSession, path: str) -> list[tuple[int, list[str]]]:
+    """Numbers of columns in the header lines, each with up to three of the files that have it.
+
+    The header of a file is the first line of its first block; only one line of each file leaves a task.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    ).where("block = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    # A quoted comma does not divide, whatever else the quoted text holds.
+    plain = F.regexp_replace("head", '"([^"]|"")*"', "x")
+    found = heads.groupBy(F.size(F.split(plain, ",")).alias("width")).agg(
+        F.slice(F.sort_array(F.collect_set("file")), 1, 3).alias("files"))
+    return [(row["width"], row["files"]) for row in found.collect()]
+
+
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Raw rows with a header line; the header text is ignored, columns bind by position.
 
+    Fields may be quoted, with ``""`` for a quote. A line break inside quotes needs ``multi_line``: each file is then
+    read by one task, since only reading from the start tells which line breaks are quoted.
+
     A file of another width is refused. Single rows that are short, long or hold text in a number field are kept, with
     the row's text in ``malformed_record``. The parser reads text only and does not prune columns: otherwise which rows
     count as malformed would depend on the columns a query happens to select.
     """
-    width = len(spark.read.option("header", True).csv(path).columns)
-    if width != len(S.RAW_COLUMNS):
-        raise ValueError(f"expected {len(S.RAW_COLUMNS)} columns, the header has {width}")
+    for width, files in _header_widths(spark, path):
+        if width != len(S.RAW_COLUMNS):
+            raise ValueError(f"expected {len(S.RAW_COLUMNS)} columns, the header has {width}: {', '.join(files)}")
     text = (
         spark.read.schema(S.RAW_TEXT)
+        .options(**CSV)
+        .option("multiLine", multi_line)
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
@@ -49,7 +74,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_visits(
-    spark: SparkSession, path: str, source: str = "csv", referral_null_mode: str = "literal"
+    spark: SparkSession, path: str, source: str = "csv", referral_null_mode: str = "literal", multi_line: bool = False
 ) -> DataFrame:
     """The full visit table from raw CSV, or from Parquet written by this library."""
     if source == "parquet":
@@ -59,7 +84,7 @@ def read_visits(
         return visits if "satisfaction_score_filled" in visits.columns else fill_scores(visits)
     if source != "csv":
         raise ValueError(f"source must be 'csv' or 'parquet', not {source!r}")
-    parsed = parse(read_raw_csv(spark, path), referral_null_mode)
+    parsed = parse(read_raw_csv(spark, path, multi_line), referral_null_mode)
     return fill_scores(derive(parsed, referral_null_mode))
 
 
@@ -81,7 +106,7 @@ def save_table(visits: DataFrame, name: str) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """All columns as CSV part files with a header each."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).option("header", True).csv(path)
 
 
 def register(visits: DataFrame, name: str = "patients") -> None:

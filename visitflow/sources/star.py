@@ -34,8 +34,10 @@ def _clock(hour: str) -> str:
     return "concat_ws(':', " + ", ".join(f"lpad(cast({x} AS STRING), 2, '0')" for x in (hour, minute, second)) + ")"
 
 
+STORED = ("o_orderdate", "o_totalprice")  # may be named besides visit columns, for filters that the scan can use
+
 _FACTS = {
-    "patient_id": "concat('P', lpad(cast(o_orderkey AS STRING), 9, '0'))",
+    "patient_id": "CASE WHEN o_orderkey IS NOT NULL THEN format_string('P%09d', o_orderkey) END",
     "admission_date": "CASE WHEN o_orderkey % 997 <> 0 THEN cast(o_orderdate AS DATE) END",
     "admission_time": f"CASE WHEN o_orderkey % 89 <> 0 THEN {_clock(f'{_SECOND} div 3600')} END",
     "gender": "CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' ELSE 'Other' END",
@@ -81,11 +83,15 @@ def _base(
         nation, region = _table(spark, path, "nation"), _table(spark, path, "region")
         rows = rows.join(nation, rows.c_nationkey == nation.n_nationkey, "left")
         rows = rows.join(region, rows.n_regionkey == region.r_regionkey, "left")
-    return rows.selectExpr(*[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in columns])
+    stored = [c for c in STORED if c in columns]
+    return rows.selectExpr(*stored, *[f"{expressions[c]} AS {c}" for c in S.RAW_COLUMNS if c in columns])
 
 
 def visits(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """The named columns of the visit table over the Parquet tables in ``path``; all columns when none is named."""
+    """The named columns of the visit table over the Parquet tables in ``path``; all columns when none is named.
+
+    Columns of ``STORED`` may be named too.
+    """
     wanted = columns or S.ALL_COLUMNS
     sources = {S.DERIVED_FROM.get(c, c) for c in wanted}
     table = derive(_base(spark, path, {**_FACTS, **_LOOKUPS}, sources), only=wanted)
