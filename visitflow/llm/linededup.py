@@ -98,8 +98,7 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ).astype({"doc_id": "Int64"})
 
 
-@F.pandas_udf("array<binary>")
-def _lines_at(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+def _bytes_at(texts: pd.Series, ranges: pd.Series) -> pd.Series:
     """The bytes of ranges ``(start, lines)`` of a text."""
     out = []
     for text, wanted in zip(texts, ranges, strict=True):
@@ -108,8 +107,8 @@ def _lines_at(texts: pd.Series, ranges: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("clean string, n_lines int, gone array<int>, empty boolean")
-def _cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+def _without(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    """Texts without ranges ``(start, end)`` of lines."""
     out = []
     for text, wanted in zip(texts, ranges, strict=True):
         lines = text.split("\n") if text else []
@@ -155,7 +154,8 @@ def copied_lines(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("start", "lines", "digest", "original", "up", "down"))).alias("ranges")
     )
     own = docs.select("key", "text").join(wanted.hint("merge"), "key")
-    bytes_of = own.select("key", "ranges", _lines_at("text", "ranges").alias("bytes")).select(
+    lines_at = F.pandas_udf(_bytes_at, "array<binary>")
+    bytes_of = own.select("key", "ranges", lines_at("text", "ranges").alias("bytes")).select(
         "key", F.explode(F.arrays_zip("ranges", "bytes")).alias("x")
     ).select("key", "x.ranges.*", "x.bytes")
     copies, originals = bytes_of.where(~F.col("original")), bytes_of.where("original")
@@ -171,7 +171,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"))
     texts = keyed.select("key", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
     ranges = written(copied_lines(texts), "copied-lines")
-    out = keyed.join(ranges.hint("merge"), "key", "left").select("row", _cut("row.text", "ranges").alias("cut"))
+    cut = F.pandas_udf(_without, "clean string, n_lines int, gone array<int>, empty boolean")
+    out = keyed.join(ranges.hint("merge"), "key", "left").select("row", cut("row.text", "ranges").alias("cut"))
     return out.select("row", "cut.*")
 
 
