@@ -112,8 +112,36 @@ def _assigned(df: DataFrame) -> DataFrame:
     return learning.nearest(points, CENTROIDS, ["x", "y"])
 
 
-def _trained(train: Callable[[DataFrame], learning.Trained], pick: Callable[[learning.Trained], DataFrame]):
-    return lambda df: pick(train(df))
+def _admission_results(df: DataFrame) -> dict[str, DataFrame]:
+    trained = learning.train_admission(df, parallelism=5)
+    return {
+        "metrics": trained.metrics, "report": learning.classification_report(trained.predictions),
+        "importances": trained.importances, "done": trained,
+    }
+
+
+def _score_results(df: DataFrame) -> dict[str, DataFrame]:
+    trained = learning.train_score(df)
+    return {"metrics": trained.metrics, "importances": trained.importances, "done": trained}
+
+
+_RESULTS: dict[tuple, dict[str, tuple[list, object]]] = {}
+
+
+def _trained(train: Callable[[DataFrame], dict], pick: str, *columns: str) -> Query:
+    """A small result of a model. Training runs once for a session and path; its few result rows stay, its data goes."""
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        name = (spark.sparkContext.applicationId, path, train)
+        if name not in _RESULTS:
+            results = train(visits(spark, path, *columns))
+            owner = results.pop("done")
+            try:
+                _RESULTS[name] = {key: (frame.collect(), frame.schema) for key, frame in results.items()}
+            finally:
+                owner.release()
+        return spark.createDataFrame(*_RESULTS[name][pick])
+
+    return run
 
 
 _Q: dict[str, Query] = {
@@ -301,24 +329,11 @@ _Q: dict[str, Query] = {
         _cluster_profiles, "age", "wait_time", "satisfaction_score_filled", "is_admitted", "has_referral"
     ),
     # models (iterative, so without a SQL twin)
-    "admission_model_metrics": _on(
-        _trained(lambda v: learning.train_admission(v, parallelism=5), lambda t: t.metrics), *_FEATURES, "is_admitted"
-    ),
-    "admission_model_report": _on(
-        _trained(
-            lambda v: learning.train_admission(v, folds=0), lambda t: learning.classification_report(t.predictions)
-        ),
-        *_FEATURES, "is_admitted",
-    ),
-    "admission_importances": _on(
-        _trained(lambda v: learning.train_admission(v, folds=0), lambda t: t.importances), *_FEATURES, "is_admitted"
-    ),
-    "score_model_metrics": _on(
-        _trained(learning.train_score, lambda t: t.metrics), *_FEATURES, "satisfaction_score"
-    ),
-    "score_importances": _on(
-        _trained(learning.train_score, lambda t: t.importances), *_FEATURES, "satisfaction_score"
-    ),
+    "admission_model_metrics": _trained(_admission_results, "metrics", *_FEATURES, "is_admitted"),
+    "admission_model_report": _trained(_admission_results, "report", *_FEATURES, "is_admitted"),
+    "admission_importances": _trained(_admission_results, "importances", *_FEATURES, "is_admitted"),
+    "score_model_metrics": _trained(_score_results, "metrics", *_FEATURES, "satisfaction_score"),
+    "score_importances": _trained(_score_results, "importances", *_FEATURES, "satisfaction_score"),
     "patient_segments": _on(lambda v: learning.cluster_table(learning.segment(v, parallelism=5).profiles), *_SEGMENT),
     "segment_scatter": _on(lambda v: charts.segment_scatter(learning.segment(v, parallelism=5).clustered), *_SEGMENT),
     # quality

@@ -136,3 +136,29 @@ def test_reports_are_written(spark, table):
     assert models["segment_scatter"].count() == min(2000, table.count())
     for model in trained:
         model.release()
+
+
+def test_the_layout_of_the_input_does_not_change_a_model(table):
+    known = table.select("patient_id", "is_admitted", *learning.FEATURES).limit(600).persist()
+    seen = []
+    for n in (1, 4, 16, 64):
+        trained = learning.train_admission(known.repartition(n), trees=4, depth=6, folds=0)
+        seen.append((trained.metrics.first()["accuracy"], [tuple(r) for r in trained.importances.collect()]))
+        trained.release()
+    assert all(x == seen[0] for x in seen)
+    known.unpersist()
+
+
+def test_no_more_visits_are_learned_from_than_allowed(table):
+    trained = learning.train_admission(table, trees=2, depth=3, folds=0, labelled=100)
+    assert trained.data.where("is_fit").count() == 100
+    assert trained.predictions.count() == trained.data.where("is_test").count()
+    trained.release()
+
+
+def test_nearest_takes_the_first_of_equals(spark):
+    points = spark.createDataFrame([(0.0, 0.0), (2.0, 0.0), (1.0, 0.0)], "x double, y double")
+    got = learning.nearest(points, [(0, 0), (2, 0)], ["x", "y"])
+    assert sorted((r["x"], r["cluster"], r["distance"]) for r in got.collect()) == [
+        (0.0, 0, 0.0), (1.0, 0, 1.0), (2.0, 1, 0.0)]
+    assert tuple(learning.inertia(got).first()) == (1.0, 3)

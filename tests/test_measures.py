@@ -141,3 +141,33 @@ def test_views(spark, sf_dir):
     catalog.register_views(v)
     assert spark.sql("SELECT sum(total_patients) FROM dept_summary").first()[0] == v.count()
     assert spark.sql("SELECT sum(patient_count) FROM daily_volume").first()[0] == v.count()
+
+
+def test_sql_text_can_only_query(spark, sf_dir):
+    v = visits(spark, sf_dir, "wait_time", "is_admitted")
+    spark.range(3).createOrReplaceTempView("other")
+    for text in ("DROP VIEW other", "INSERT INTO other VALUES (1)", "CREATE TABLE t AS SELECT 1", "SELECT 1) ; DROP VIEW other"):
+        assert run_sql(v, text).error
+    assert spark.table("other").count() == 3
+    broken = run_sql(v, "SELECT 1 / (wait_time - wait_time) AS x FROM patients")
+    assert broken.error is None and broken.execute() == [] and "DIVIDE_BY_ZERO" in broken.error
+    again = run_sql(v, "SELECT wait_time FROM patients WHERE 1 / (wait_time - wait_time) > 0")
+    assert again.rows() == 0 and "DIVIDE_BY_ZERO" in again.error
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("patients")]
+    spark.catalog.dropTempView("other")
+
+
+def test_calls_in_parallel_keep_their_own_table(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    v = visits(spark, sf_dir, "patient_id")
+    parts = [v.limit(n) for n in range(1, 9)]
+    with ThreadPoolExecutor(8) as pool:
+        results = list(pool.map(lambda p: run_sql(p, "SELECT count(*) AS n FROM patients -- all"), parts))
+    assert [r.execute()[0]["n"] for r in results] == list(range(1, 9))
+
+
+def test_sql_text_keeps_its_order_and_own_names(spark, sf_dir):
+    v = visits(spark, sf_dir, "patient_id", "wait_time")
+    rows = run_sql(v, "WITH w AS (SELECT * FROM patients) SELECT patient_id FROM w ORDER BY patient_id DESC LIMIT 5;").execute()
+    assert [r[0] for r in rows] == sorted((r[0] for r in rows), reverse=True) and len(rows) == 5

@@ -10,6 +10,8 @@ from visitflow.operators import catalog, filters, kpis, stats
 from visitflow.sources.star import visits
 
 QUERIES = entry_module.queries()
+# The optional text operators have tests of their own.
+QUERIES = {name: query for name, query in QUERIES.items() if not re.match(r"op\d+_|pipeline$", name)}
 MODELS = {n for n in QUERIES if n.startswith(("admission_model", "admission_imp", "score_model", "score_imp"))} | {
     "patient_segments", "segment_scatter",
 }
@@ -54,7 +56,13 @@ def test_filters_reach_the_scan(stored):
     text = plan(filters.select_visits(stored, years=[1996, 1997]).select("patient_id"))
     assert re.search(r"PartitionFilters: \[[^]]*year#\d+ IN \(1996,1997\)", text)
     assert "GreaterThanOrEqual(admission_date,1996-01-01)" in text
-    assert "LessThanOrEqual(admission_date,1997-12-31)" in text
+    assert "LessThan(admission_date,1998-01-01)" in text
+
+
+def test_years_reach_the_scan_of_the_orders(spark, sf_dir):
+    text = plan(QUERIES["selected_visits"](spark, sf_dir))
+    pushed = re.search(r"PushedFilters: \[([^]]*o_orderdate[^]]*)\]", text)[1]
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in pushed and "LessThan(o_orderdate,2000-01-01" in pushed
 
 
 def test_groups_are_combined_before_the_shuffle(stored):

@@ -144,3 +144,57 @@ def test_known_facts_at_one_hundredth(spark):
         F.countDistinct("year"), F.count_if(F.col("satisfaction_score") <= 3),
     ).first()
     assert tuple(row) == (15000, 16, 169, 162, 72, 216, 4500, 7445, 7, 1295)
+
+
+QUOTED = [
+    ("Q1", '"O""Neil, Ann"', 'O"Neil, Ann'),
+    ("Q2", '"a ""b"" c"', 'a "b" c'),
+    ("Q3", '""', None),
+    ("Q4", '"Lee, Bo"', "Lee, Bo"),
+]
+
+
+def test_quotes_are_those_of_spreadsheets(spark, folder):
+    lines = [f"{i},03/07/2020,08:05:09 AM,{name},Female,30,R,Cardio,Admission,7,20" for i, name, _ in QUOTED]
+    (folder / "quoted.csv").write_text("\n".join(['"Id, masked",' + HEADER.split(",", 1)[1], *lines]) + "\n")
+    got = by_id(read_visits(spark, str(folder / "quoted.csv")), "patient_name", "wait_time")
+    assert got == {i: (name, 20) for i, _, name in QUOTED}
+    assert read_raw_csv(spark, str(folder / "quoted.csv")).where(F.col(S.MALFORMED).isNotNull()).isEmpty()
+
+
+def test_line_breaks_in_quotes(spark, folder):
+    line = '{},03/07/2020,08:05:09 AM,"Two\nlines, ""x""",Female,30,R,Cardio,Admission,7,20'
+    (folder / "breaks.csv").write_text("\n".join([HEADER, line.format("B1"), line.format("B2")]) + "\n")
+    got = by_id(read_visits(spark, str(folder / "breaks.csv"), multi_line=True), "patient_name", "wait_time")
+    assert got == {i: ('Two\nlines, "x"', 20) for i in ("B1", "B2")}
+
+
+def test_export_is_read_back_as_written(spark, folder):
+    df = spark.createDataFrame([("a,b", 'say "x"', None), ("two\nlines", "", "z")], "a string, b string, c string")
+    export_csv(df, str(folder / "out"))
+    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(str(folder / "out"))
+    assert sorted(r["a"] for r in back.collect()) == ["a,b", "two\nlines"]
+    text = "".join(p.read_text() for p in (folder / "out").glob("part-*"))
+    assert '"say ""x"""' in text and "\\" not in text
+
+
+def test_every_file_needs_the_right_width(spark, folder):
+    (folder / "many").mkdir()
+    (folder / "many" / "a.csv").write_text("\n".join([HEADER, LINES[0]]) + "\n")
+    (folder / "many" / "b.csv").write_text(f"{HEADER},More\n{LINES[0]},1\n")
+    with pytest.raises(ValueError, match=r"header has 12: .*b\.csv"):
+        read_raw_csv(spark, str(folder / "many"))
+
+
+def test_ids_are_never_cut(spark, sf_dir, folder):
+    from visitflow.operators import sampling
+
+    for name in ("customer", "nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(folder / f"{name}.parquet"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.withColumn("o_orderkey", F.col("o_orderkey") + 3_000_000_000).write.parquet(str(folder / "orders.parquet"))
+    table, n = visits(spark, str(folder)), orders.count()
+    assert table.select("patient_id").distinct().count() == n
+    broken = {r["rule"]: r["violations"] for r in quality.summary(table).collect()}
+    assert broken["patient_id_unique"] == 0
+    assert sampling.with_test_flag(table.select("patient_id")).where("is_test").count() == -(-n // 5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,21 +17,41 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STEPS = 1_000_000
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The fraction ``1 + d1/(1 + d2/(1 + ...))`` of the incomplete beta function (DLMF 8.17.22)."""
+def _fraction(terms: Callable[[int], float]) -> float:
+    """``1 + terms(1) / (1 + terms(2) / (1 + ...))``."""
     value, upper, lower = 1.0, 1.0, 0.0
     for j in range(1, STEPS):
-        m = j // 2
-        if j % 2:
-            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        else:
-            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = terms(j)
         lower = 1.0 / (1.0 + d * lower)
         upper = 1.0 + d / upper
         value *= upper * lower
         if abs(upper * lower - 1.0) < 1e-14:
             return value
-    raise ArithmeticError(f"the incomplete beta function did not converge for a={a}, b={b}, x={x}")
+    raise ArithmeticError("the incomplete beta function did not converge")
+
+
+def _body(a: float, rest: float) -> float:
+    """Fraction of the incomplete beta function of ``rest`` with 1/2 and ``a`` (DLMF 8.17.22), for small ``rest``."""
+    def term(j: int) -> float:
+        m = j // 2
+        if j % 2:
+            return -(0.5 + m) * (a + 0.5 + m) * rest / ((0.5 + 2 * m) * (1.5 + 2 * m))
+        return m * (a - m) * rest / ((2 * m - 0.5) * (0.5 + 2 * m))
+
+    return 1.0 / _fraction(term)
+
+
+def _tail(a: float, ratio: float) -> float:
+    """``F(1/2, 1; a + 1; -ratio)`` as Gauss's fraction: all its terms are positive, so no digits cancel."""
+    def term(j: int) -> float:
+        m = j // 2
+        if j % 2:
+            k = (0.5 + m) / (a + 1) if m == 0 else (0.5 + m) * (a + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            k = m * (a + m - 0.5) / ((a + 2 * m - 1) * (a + 2 * m))
+        return k * ratio
+
+    return 1.0 / _fraction(term)
 
 
 def _log_gamma_step(a: float) -> float:
@@ -47,15 +68,14 @@ def _log_gamma_step(a: float) -> float:
 
 def _incomplete_beta(a: float, x: float, rest: float) -> float:
     """Regularised incomplete beta with ``b`` 1/2; ``rest`` is ``1 - x``, passed in so that it keeps its digits."""
-    b = 0.5
     if x <= 0.0 or rest <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
     # x is 1 - rest: its logarithm from the smaller of the two.
     log_x = math.log1p(-rest) if rest < 0.5 else math.log(x)
-    log_front = _log_gamma_step(a) - 0.5 * math.log(math.pi) + a * log_x + b * math.log(rest)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(log_front) / (a * _beta_fraction(a, b, x))
-    return 1.0 - math.exp(log_front) / (b * _beta_fraction(b, a, rest))
+    log_front = _log_gamma_step(a) - 0.5 * math.log(math.pi) + a * log_x + 0.5 * math.log(rest)
+    if rest > 1.5 / (a + 2.5):
+        return math.exp(log_front) / (a * rest) * _tail(a, x / rest)
+    return 1.0 - math.exp(log_front) / 0.5 * _body(a, rest)
 
 
 def two_sided_p(t: float | None, df: float | None) -> float | None:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from visitflow.functions.numeric import half_even, share
 from visitflow.operators.quantiles import medians
-from visitflow.operators.sampling import with_fold, with_test_flag
+from visitflow.operators.sampling import cutoffs, first_rank, hash_key, with_fold, with_test_flag
 
 # --- fixed values: features and training settings -----------------------------------------------------------------
 CATEGORIES = ("gender", "race", "department_referral", "time_of_day", "day_of_week")
@@ -40,7 +40,8 @@ STARTS = 10
 SHIFT = 1e-4
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
-DEPTH = 8  # our own limit: each level is a pass over the data
+DEPTH = 30  # the most that MLlib grows: in practice unbounded
+LABELLED = 20_000  # visits, those of lowest hash, that a forest learns from; deep trees are held on the driver
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------
@@ -70,19 +71,36 @@ def label_codes(visits: DataFrame) -> DataFrame:
     return labels.withColumn("code", F.dense_rank().over(order) - 1)
 
 
-def fit_encoder(visits: DataFrame) -> StringIndexerModel:
-    return StringIndexer(
-        inputCols=list(CATEGORIES),
-        outputCols=[f"{c}_code" for c in CATEGORIES],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(_labels(visits))
+def fit_features(visits: DataFrame) -> tuple[StringIndexerModel, dict[str, float]]:
+    """Encoder of the categories and medians of the numbers, from the value counts of one pass.
+
+    The driver receives one row for each feature.
+    """
+    texts = _labels(visits).select(*CATEGORIES, *[F.col(c).cast("string").alias(c) for c in NUMBERS])
+    counts = texts.unpivot([], [*CATEGORIES, *NUMBERS], "feature", "value").where(
+        F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("feature").isin(*NUMBERS)
+    rows = counts.groupBy("feature").agg(
+        F.sort_array(F.collect_set(F.when(~number, F.col("value")))).alias("labels"),
+        F.percentile(F.when(number, F.col("value").try_cast("double")), F.lit(0.5), F.col("n")).alias("m"),
+    ).collect()
+    found = {r["feature"]: r for r in rows}
+    labels = [found[c]["labels"] if c in found else [MISSING_LABEL] for c in CATEGORIES]
+    # Every label at least once: the encoder is fitted on this frame, whose rows are bounded by the labels.
+    examples = [tuple(own[min(i, len(own) - 1)] for own in labels) for i in range(max(map(len, labels)))]
+    frame = visits.sparkSession.createDataFrame(examples, ", ".join(f"{c} string" for c in CATEGORIES))
+    encoder = StringIndexer(
+        inputCols=list(CATEGORIES), outputCols=[f"{c}_code" for c in CATEGORIES],
+        stringOrderType="alphabetAsc", handleInvalid="keep",
+    ).fit(frame)
+    return encoder, {c: found[c]["m"] if c in found else None for c in NUMBERS}
 
 
 def feature_matrix(visits: DataFrame, *keep: str) -> tuple[DataFrame, StringIndexerModel]:
     """The eight numeric features (and the columns to keep), with the fitted encoder."""
-    encoder = fit_encoder(visits)
-    coded = encoder.transform(impute(_labels(visits), NUMBERS))
+    encoder, middle = fit_features(visits)
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")) for c in NUMBERS}
+    coded = encoder.transform(_labels(visits).withColumns(filled))
     codes = [F.col(f"{c}_code").alias(c, metadata=coded.schema[f"{c}_code"].metadata) for c in CATEGORIES]
     return coded.select(*keep, *codes, *NUMBERS), encoder
 
@@ -301,18 +319,36 @@ def _f1(predictions: DataFrame) -> float:
     return classification_report(predictions).where(F.col("class") == "1").first()["f1"]
 
 
+def _flagged(features: DataFrame, seed: int, labelled: int, folds: int, label: str | None) -> DataFrame:
+    """Persisted features with ``is_test``, ``is_fit`` (at most ``labelled`` visits) and ``fold``.
+
+    All cut-offs are found on features that are persisted first, so the source is not read again.
+    """
+    kept = _kept(features)
+    data = with_test_flag(kept, seed, label=label)
+    if folds:
+        data = with_fold(data, label, folds, seed)
+    key = hash_key(seed + 1)
+    least = cutoffs(data, key, [first_rank(labelled)])[F.lit("all")][0]
+    data = data.withColumn("is_fit", F.coalesce(key <= least, F.lit(False)))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    kept.unpersist()
+    return data
+
+
 def train_admission(
     visits: DataFrame, trees: int = TREES, depth: int = DEPTH, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int = 2,
+    parallelism: int = 2, labelled: int = LABELLED,
 ) -> Trained:
-    """Random forest for ``is_admitted``: stratified 80/20 test, and F1 over stratified folds (``folds=0``: none)."""
-    labelled = visits.withColumn("label", F.col("is_admitted").cast("int"))
-    matrix, encoder = feature_matrix(labelled, "patient_id", "label")
-    data = _assembled(matrix, "patient_id", "label")
-    data = with_test_flag(data, seed, label="label")
-    if folds:
-        data = with_fold(data, "label", folds, seed)
-    data = _kept(data)
+    """Random forest for ``is_admitted``: stratified 80/20 test, and F1 over stratified folds (``folds=0``: none).
+
+    It learns from at most ``labelled`` visits; predictions and metrics cover all visits of the test part, and folds all
+    visits held out.
+    """
+    known = visits.withColumn("label", F.col("is_admitted").cast("int"))
+    matrix, encoder = feature_matrix(known, "patient_id", "label")
+    data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, folds, "label")
     if data.select("label").distinct().count() < 2:
         data.unpersist()
         raise ValueError("the admission model needs both admitted and not admitted visits")
@@ -320,9 +356,9 @@ def train_admission(
 
     def fold_score(fold: int) -> float:
         rest, held_out = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        return _f1(forest.fit(rest).transform(held_out))
+        return _f1(forest.fit(rest.where("is_fit")).transform(held_out))
 
-    model = forest.fit(data.where(~F.col("is_test")))
+    model = forest.fit(data.where("is_fit AND NOT is_test"))
     predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
     metrics = accuracy(predictions)
     if folds:
@@ -332,13 +368,18 @@ def train_admission(
     return Trained(model, encoder, predictions, metrics, importances(model, data), data)
 
 
-def train_score(visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Trained:
-    """Random forest for the satisfaction score, on scored visits only; plain 80/20 test."""
+def train_score(
+    visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, labelled: int = LABELLED
+) -> Trained:
+    """Random forest for the satisfaction score, on scored visits only; plain 80/20 test.
+
+    It learns from at most ``labelled`` visits; predictions and metrics cover all visits of the test part.
+    """
     rated = visits.where(F.col("satisfaction_score").isNotNull()).withColumn("label", F.col("satisfaction_score"))
     matrix, encoder = feature_matrix(rated, "patient_id", "label")
-    data = _kept(with_test_flag(_assembled(matrix, "patient_id", "label"), seed))
+    data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, 0, None)
     forest = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, trees, depth, seed))
-    model = forest.fit(data.where(~F.col("is_test")))
+    model = forest.fit(data.where("is_fit AND NOT is_test"))
     predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
     metrics = regression_metrics(predictions).withColumn(
         "n_training_samples", data.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from visitflow.operators import charts, learning, stats
 from visitflow.plans.report import write_sections
-from visitflow.sources.files import read_visits
+from visitflow.sources.files import keep, read_visits
 
 TOP = 3
 
@@ -43,10 +43,16 @@ def main() -> None:
     parser.add_argument("--format", default="parquet", choices=["csv", "parquet"])
     args = parser.parse_args()
     spark = SparkSession.builder.appName("visitflow-models").getOrCreate()
-    sections, trained = ml_report(read_visits(spark, args.source, args.source_format))
-    write_sections(sections, args.target, args.format)
-    for model in trained:
-        model.release()
+    # All three models and every section read the table; the source is parsed once.
+    visits = keep(read_visits(spark, args.source, args.source_format))
+    trained: list[learning.Trained] = []
+    try:
+        sections, trained = ml_report(visits)
+        write_sections(sections, args.target, args.format)
+    finally:
+        for model in trained:
+            model.release()
+        visits.unpersist()
 
 
 if __name__ == "__main__":

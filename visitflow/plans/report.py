@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from visitflow.operators import kpis, stats
 from visitflow.plans.adhoc import report_queries
-from visitflow.sources.files import read_visits
+from visitflow.sources.files import keep, read_visits
 
 
 def statistical_report(visits: DataFrame) -> dict[str, DataFrame]:
@@ -42,8 +42,12 @@ def main() -> None:
     parser.add_argument("--format", default="parquet", choices=["csv", "parquet"])
     args = parser.parse_args()
     spark = SparkSession.builder.appName("visitflow-report").getOrCreate()
-    visits = read_visits(spark, args.source, args.source_format)
-    write_sections(statistical_report(visits), args.target, args.format)
+    # Every section reads the table; the source is parsed once.
+    visits = keep(read_visits(spark, args.source, args.source_format))
+    try:
+        write_sections(statistical_report(visits), args.target, args.format)
+    finally:
+        visits.unpersist()
 
 
 if __name__ == "__main__":
