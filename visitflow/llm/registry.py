@@ -145,10 +145,77 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
+
+
+def _quality_sql() -> str:
+    """The measures by plain regular expressions, and the same fit as one table for each of its steps."""
+    rules = quality.RULES
+    spaces = "[^\\x20\\x09-\\x0D]"
+
+    def value(measure: str) -> str:
+        if measure.startswith("abs("):
+            return "abs(word_chars / nullif(n_words, 0) - 5.2)"
+        top, bottom = measure.split(" / ")
+        return f"{top} / nullif({bottom}, 0)"
+
+    digits = ", ".join(
+        f"CASE WHEN {value(m)} >= {bad} THEN 0 WHEN {value(m)} <= {good} THEN 2 ELSE 1 END AS d{j}"
+        for j, (_, m, bad, good) in enumerate(rules)
+    )
+    names = ", ".join(f"d{j}" for j in range(len(rules)))
+    odds = "ln(share) - ln(1 - share) + " + " + ".join(
+        f"ln(CASE d{j} WHEN 0 THEN g{j}_0 WHEN 1 THEN g{j}_1 ELSE g{j}_2 END)"
+        f" - ln(CASE d{j} WHEN 0 THEN b{j}_0 WHEN 1 THEN b{j}_1 ELSE b{j}_2 END)" for j in range(len(rules))
+    )
+    posterior, start, weight = f"1 / (1 + exp(-({odds})))", quality.START, quality.WEIGHT
+    fitted = ", ".join(
+        f"(sum(CASE WHEN d{j} = {v} THEN f * {q} ELSE 0 END) + {weight * start[c][v]!r}) / (sum(f * {q}) + {weight}) "
+        f"AS {c[0]}{j}_{v}"
+        for c, q in (("good", "q"), ("bad", "(1 - q)")) for j in range(len(rules)) for v in range(3)
+    )
+    first = ", ".join(f"{start[c][v]} AS {c[0]}{j}_{v}" for c in start for j in range(len(rules)) for v in range(3))
+    steps = "".join(
+        f""", s{k + 1} AS MATERIALIZED (
+  SELECT (sum(f * q) + {weight * quality.GOOD_SHARE!r}) / {1 + weight} AS share, {fitted}
+  FROM (SELECT *, {posterior} AS q FROM seen, s{k})
+)"""
+        for k in range(quality.ROUNDS)
+    )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{spaces}+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{spaces}')) AS l FROM texts
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS three FROM parts, unnest(range(1, len(w) - 1)) AS r(i)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM repeated, unnest([i, i + 1, i + 2]) AS r(j) GROUP BY doc_id
+), measures AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '!')) AS n_exclamations, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals
+  FROM parts LEFT JOIN covered USING (doc_id)
+), voted AS MATERIALIZED (SELECT *, {digits} FROM measures),
+seen AS MATERIALIZED (SELECT {names}, count(*) / (SELECT count(*) FROM voted) AS f FROM voted GROUP BY {names}),
+s0 AS (SELECT {quality.GOOD_SHARE} AS share, {first}){steps},
+judged AS (
+  SELECT *, {posterior} AS posterior, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM voted, s{quality.ROUNDS}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND posterior >= {quality.KEEP} AS kept, round(posterior, 4) AS posterior
+FROM judged
+"""
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_9 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op3_quality": _quality_sql(),
     "op4_warc": """
 WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 digests AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM payloads),
