@@ -151,8 +151,8 @@ def _pack(capacity: int, turn: int):
         sequence, offset = best_fit(lengths, capacity)
         group = int(rows["group"].iloc[0])
         if turn and sequence.max() + 1 >= rows["sequence_id"].nunique():
-            names, sequence = pd.factorize(rows["sequence_id"])
-            ids, offset = names[sequence], rows["offset"].to_numpy()
+            sequence, names = pd.factorize(rows["sequence_id"])
+            ids, offset = names.to_numpy()[sequence], rows["offset"].to_numpy()
         else:
             ids = (np.int64(turn) << 56) + (np.int64(group) << 20) + sequence
         filled = np.bincount(sequence, lengths)
