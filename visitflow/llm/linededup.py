@@ -2,8 +2,8 @@
 
 * A text is cut after every line at which a rolling hash over the last ``ROLL`` line hashes is 0 modulo ``EVERY``, and
   around every line of ``LONG`` words or more. Boundaries depend on nearby lines only, so a passage is cut alike wherever
-  it stands. This is done once for each of ``MIXES``, so that a short passage without a whole chunk in one cutting has
-  one in another.
+  it stands. The two lines around a boundary make a chunk, too: a passage of a few lines need not hold a whole chunk, but
+  mostly holds a boundary. All this is done once for each of ``MIXES``, which leaves few passages without either.
 * A chunk counts when it has two lines with words and ``SHORT`` words, or ``LONG`` words. Chunks of one digest form a
   group; the one of lowest (doc_id, row, line) is its original, and the bytes of each other one are compared with it.
 * A confirmed copy is extended over the lines before and after it that equal those around the original: a passage need
@@ -35,11 +35,14 @@ ROLL = 1
 EVERY = 2
 MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # odd factors
 SHORT = 12
-LONG = 30
+LONG = 20
 
 CHUNK = "key binary, doc_id bigint, start int, lines int, digest binary, before array<bigint>, after array<bigint>"
 
 
+REACH = 8  # lines beyond a chunk that are compared with those beyond its original; more lines hold chunks themselves
+
+
 def _hash(line: bytes) -> int:
     return int.from_bytes(blake2b(line, digest_size=8).digest(), "little", signed=True)
 
@@ -75,13 +78,15 @@ def chunks_of(text: str | None) -> Iterator[tuple[int, int, bytes, list[int], li
     seen = set()
     for mix in MIXES:
         bounds = chunk_bounds(hashes, words, mix)
-        for j, (a, b) in enumerate(bounds):
+        pairs = [
+            (b - 1, b + 1) for _, b in bounds[:-1] if 0 < words[b - 1] < LONG and 0 < words[b] < LONG
+        ]
+        for a, b in bounds + pairs:
             total = sum(words[a:b])
             if (a, b) in seen or not (total >= LONG or total >= SHORT and sum(w > 0 for w in words[a:b]) >= 2):
                 continue
             seen.add((a, b))
-            before = hashes[bounds[j - 1][0]:a][::-1] if j else []
-            after = hashes[b:bounds[j + 1][1]] if j + 1 < len(bounds) else []
+            before, after = hashes[max(0, a - REACH):a][::-1], hashes[b:b + REACH]
             yield a, b - a, blake2b(b"\n".join(raw[a:b]), digest_size=16).digest(), before, after
 
 
