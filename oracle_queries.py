@@ -56,6 +56,7 @@ visits AS (
   FROM base
 )"""
 
+# The label lists, bin edges and thresholds below are fixed values, the same as in ``visitflow/sources/schema.py``.
 # Irrational offsets: no visit lies as far from one centroid as from another.
 CENTROIDS = ((2.0137, 1.0271), (7.0419, 1.5113), (3.0293, 5.0377), (8.0511, 9.0173))
 
