@@ -27,7 +27,8 @@ def test_archives_round_trip(spark):
     assert (got[6]["payload_bytes"], got[7]["payload_bytes"]) == (0, 0)
 
 
-def test_index_is_globally_ordered(spark):
+def test_index_is_globally_ordered(spark, monkeypatch):
+    monkeypatch.setattr(W, "ARCHIVE", 4_000)
     rng = random.Random(1)
     extra = [(100 + i, f"http://{rng.choice('abc')}.example.com/{rng.randrange(9)}", f"t{i}") for i in range(600)]
     pages = _pages(spark, extra).repartition(9)

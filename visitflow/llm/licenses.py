@@ -4,8 +4,9 @@
   named like a licence file. Units and templates are sparse vectors of words, weighted by count times
   ``ln((files + 1) / (files with the word + 1)) + 1``. File counts are taken over all files for the words of templates;
   another word counts as one that no file has.
-* The cosine of a unit with each template needs their common words only. Lines without a word of ``RARE`` files or fewer
-  (as a share) that some template has are left out: they share common words at most.
+* The cosine of a unit with each template needs their common words only. It is at most the length of the template's vector
+  over these words, as a share of the whole; so a line counts only when it has a word outside the lightest words of some
+  template, which together stay below ``SIMILAR`` of its length. Other lines cannot reach it.
 * A unit of ``SIMILAR`` or more states the licence of the most similar template (ties: the lowest name). A file has the
   licence of its most similar unit. A file whose statement is ``SHARE`` or more of its words, or that is named like a
   licence file, is a *licence file* of its directory.
@@ -18,14 +19,13 @@ path and text are alike. Of several licence files in one directory the most simi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitflow.llm.shared import row_key, written
 
 SIMILAR = 0.6
 SHARE = 0.25
-RARE = 0.1
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)[^/]*$"
 
 
@@ -54,8 +54,7 @@ def _term_weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Co
         listed, F.array().cast("array<string>")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = files.agg(F.count(F.lit(1)).alias("n")).scalar()
     n = F.coalesce(F.col("n"), F.lit(0))
-    weights = vocabulary.join(held, "word", "left").select(
-        "word", (F.log((total + 1) / (n + 1)) + 1).alias("idf"), (n / F.greatest(total, F.lit(1))).alias("share"))
+    weights = vocabulary.join(held, "word", "left").select("word", (F.log((total + 1) / (n + 1)) + 1).alias("idf"))
     return weights, F.log(total + F.lit(1.0)) + 1
 
 
@@ -70,14 +69,15 @@ def statements(files: DataFrame, templates: DataFrame, similar: float = SIMILAR)
         "license", "word").agg(F.count(F.lit(1)).alias("n")).join(weights, "word").select(
         "license", "word", (F.col("n") * F.col("idf")).alias("w"))
     lengths = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_length"))
-    rare = F.coalesce(
-        weights.where(F.col("share") <= RARE).agg(F.collect_set("word").alias("words")).scalar(),
-        F.array().cast("array<string>"),
-    )
+    # A window over the words of one template, lightest first.
+    lightest = Window.partitionBy("license").orderBy("w", "word").rowsBetween(Window.unboundedPreceding, 0)
+    heavy = vectors.join(lengths, "license").withColumn("upto", F.sqrt(F.sum(F.col("w") * F.col("w")).over(lightest))).where(
+        F.col("upto") >= (similar - 1e-6) * F.col("template_length"))
+    needed = F.coalesce(heavy.agg(F.collect_set("word").alias("words")).scalar(), F.array().cast("array<string>"))
     lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
     whole = files.where(F.col("path").rlike(NAMED)).select("key", F.lit(-1).alias("unit"), F.col("text").alias("line"))
     units = lines.union(whole).select("key", "unit", words_of(F.col("line")).alias("words")).where(
-        F.arrays_overlap("words", rare))
+        F.arrays_overlap("words", needed))
     # One row for each different word of the few units that are left, weighed by their count.
     counted = units.select("key", "unit", F.size("words").alias("size"), F.explode("words").alias("word")).groupBy(
         "key", "unit", "size", "word").agg(F.count(F.lit(1)).alias("n")).join(weights, "word", "left").select(
