@@ -359,7 +359,7 @@ def _optional(module: str) -> tuple[dict[str, Query], dict[str, str]]:
     try:
         part = import_module(module)
     except ModuleNotFoundError as error:
-        if error.name is None or not f"{module}.".startswith(f"{error.name}."):
+        if error.name not in ("visitflow.llm", module):
             raise
         return {}, {}
     return part.QUERIES, part.ORACLE
