@@ -33,6 +33,7 @@ travels(__name__)
 
 BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
+BLOCK = 1 << 13  # buckets that come to the driver as one array
 PREFIXES = (4, 5, 6, 7, 8)
 LABELLED = 10_000
 PRIOR = 500.0  # pseudo-counts spread over the words as they occur in all training texts
@@ -154,6 +155,16 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"place": np.unique(np.concatenate(found)).astype(np.int64)})
 
 
+def _dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of each block of buckets as one array."""
+    blocks: dict[int, np.ndarray] = {}
+    for rows in batches:
+        for block, part in rows.groupby("block"):
+            own = blocks.setdefault(int(block), np.zeros((4, BLOCK), "<i8"))
+            own[part["kind"].to_numpy(), part["bucket"].to_numpy() - int(block) * BLOCK] = part["n"].to_numpy()
+    yield pd.DataFrame({"block": list(blocks), "counts": [c.tobytes() for c in blocks.values()]})
+
+
 def _log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """The lower end of the log-odds of each bucket, from the numbers of different places that hold it."""
     both = toxic + clean
@@ -192,16 +203,21 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | None:
     """The model from the given labels; the caller leaves out labels that must not be used. None: one kind is missing.
 
-    The driver receives at most four numbers for each bucket and one small row for each of at most ``bound`` texts.
+    The driver receives four numbers for each bucket, block by block, and one small row for each of at most ``bound`` texts.
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels, bound)
     places = rows.mapInPandas(_places, "place bigint").distinct()
     kind = F.shiftrightunsigned("place", 62)
     bucket = F.shiftrightunsigned("place", 62 - BUCKET_BITS).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint"))
-    found = places.groupBy(kind.alias("kind"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    counts = np.zeros((4, BUCKETS))
-    counts[found["kind"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy()
+    found = places.groupBy(kind.cast("int").alias("kind"), bucket.cast("int").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"))
+    blocks = found.withColumn("block", F.floor(F.col("bucket") / BLOCK).cast("int")).repartition(
+        BUCKETS // BLOCK, "block").mapInPandas(_dense, "block int, counts binary")
+    counts = np.zeros((BUCKETS // BLOCK, 4, BLOCK))
+    for row in blocks.toLocalIterator():
+        counts[row["block"]] = np.frombuffer(row["counts"], "<i8").reshape(4, BLOCK)
+    counts = counts.transpose(1, 0, 2).reshape(4, BUCKETS)
     kinds = counts.any(axis=1)
     if not ((kinds[0] or kinds[2]) and (kinds[1] or kinds[3])):
         return None
