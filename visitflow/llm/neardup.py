@@ -1,17 +1,18 @@
 """Near-duplicate documents by consistent weighted sampling of TF-IDF shingles.
 
 * Shingles are ``SHINGLE`` consecutive words (lower case, letters and digits; a shorter text is one shingle). A shingle
-  weighs its count times ``ln(1 + 1 / rate)``, ``rate`` being the share of documents that hold it, at least ``RAREST``.
-  The shares come from a count-min sketch over all documents: its size is fixed and its error is a share of the number
+  weighs its count times ``ln(1 + 1 / rate)``, ``rate`` being the share of documents that hold it, at least ``RAREST``:
+  what stands in more than a quarter of the documents weighs less, while a large group of near copies, which has its
+  shingles in common, too, keeps its similarity. The shares come from a count-min sketch over all documents: its size is fixed and its error is a share of the number
   of documents, so that weights behave alike at every size, and it is small enough to broadcast.
 * Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each document; two documents share a sample
   with a probability equal to their weighted Jaccard similarity, and a band of ``ROWS`` samples is a bucket. At a
   similarity of 0.8 a pair misses all buckets with probability 8e-4.
-* In a bucket, documents are compared with pivots and not pairwise: in every round, pivots are drawn among the documents
-  that are not yet connected with the bucket's largest class, each is compared with all documents of other classes, and
-  then retired. A bucket is done when those left are of one class, so that every pair of a bucket is compared or already
-  connected: nothing is capped, and a group of near copies takes one comparison for each. Comparisons compute the
-  weighted Jaccard similarity of whole texts; ``SIMILAR`` or more makes a link. Classes are the connected documents.
+* In a bucket, every document is first compared with the bucket's lowest one: a group of near copies takes one comparison
+  for each. Where documents of a bucket are still of several classes, all those outside its largest class are compared
+  with all others that they are not yet connected with, in blocks of ``BLOCK_CHARS`` characters: every pair of a bucket is compared or already connected.
+  Nothing is capped, only links leave a block, and no task holds more than two blocks. Comparisons compute the weighted
+  Jaccard similarity of whole texts; ``SIMILAR`` or more makes a link. Classes are the connected documents.
 
 Documents of the same words are one node from the start. Null texts and texts without words are alike with nothing: each
 is a class of its own. Rows equal in id and text are one document. The class is named by its lowest doc_id (nulls
@@ -35,9 +36,9 @@ travels(__name__)
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
-RAREST = 0.005
+RAREST = 0.25
 DEPTH, WIDTH, BLOCK = 2, 1 << 18, 1 << 12
-MORE_PIVOTS = 8  # times as many pivots of a bucket in each further round
+BLOCK_CHARS = 1_500_000  # of text that a task compares with as much
 
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -200,6 +201,8 @@ def signatures(texts: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
                         place.append(i)
                         nodes.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                         sets.append(shingles(hashes))
+                if not place:
+                    continue
                 lengths = [len(u) for u, _ in sets]
                 bands = []
                 for a, b in _groups(lengths):
@@ -223,19 +226,24 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / whole if whole > 0 else 0.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, total: int, similar: float) -> DataFrame:
-    """``a``, ``b`` of the pairs whose whole texts are similar. ``texts``: ``node``, ``text``."""
-    shipped = pairs.sparkSession.sparkContext.broadcast((counts, total))
+def _vectors(weights: Weights):
+    """The function from a text to its shingles and weights."""
+    number = word_hashes()
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, number = Weights(*shipped.value), word_hashes()
+    def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = words_of(text)
+        elements, times = shingles(np.fromiter(map(number.__getitem__, words), _U, len(words)))
+        return elements, weights(elements, times)
+
+    return vector
 
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            words = words_of(text)
-            elements, times = shingles(np.fromiter(map(number.__getitem__, words), _U, len(words)))
-            return elements, weights(elements, times)
 
-        name, own = None, None
+def _with_lowest(members: DataFrame, texts: DataFrame, counts: np.ndarray, total: int, similar: float) -> DataFrame:
+    """Links ``a``, ``b`` between the lowest document of each bucket and the others. ``texts``: ``node, text``."""
+    shipped = members.sparkSession.sparkContext.broadcast((counts, total))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vector, name, own = _vectors(Weights(*shipped.value)), None, None
         for rows in batches:
             alike = []
             for a, left, right in zip(rows["a"], rows["a_text"], rows["b_text"], strict=True):
@@ -244,9 +252,125 @@ def _verified(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, total: int
                 alike.append(weighted_jaccard(own, vector(right)) >= similar)
             yield rows.loc[np.array(alike, bool), ["a", "b"]]
 
+    lowest = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = members.join(lowest.hint("merge"), "bucket").where(F.col("node") != F.col("a")).select(
+        "a", F.col("node").alias("b")).distinct()
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(compared, "a binary, b binary")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInPandas(
+        compared, "a binary, b binary")
+
+
+class Block:
+    """The vectors of several documents, as one array of places among their shingles and one of weights."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.names, self.place = np.unique(np.concatenate([u for u, _ in vectors]), return_inverse=True)
+        self.weight = np.concatenate([w for _, w in vectors])
+        self.lengths = np.array([len(u) for u, _ in vectors])
+        self.whole = np.array([w.sum(dtype=np.float64) for _, w in vectors])
+        self.row = np.zeros(len(self.names), self.weight.dtype)
+
+    def similarity(self, vector: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of a vector with the chosen documents (a mask)."""
+        u, w = vector
+        at = np.minimum(np.searchsorted(self.names, u), len(self.names) - 1)
+        known = self.names[at] == u
+        self.row[at[known]] = w[known]
+        if chosen.all():
+            place, weight = self.place, self.weight
+        else:
+            elements = np.repeat(chosen, self.lengths)
+            place, weight = self.place[elements], self.weight[elements]
+        ends = np.cumsum(self.lengths[chosen])
+        shared = np.add.reduceat(
+            np.minimum(self.row[place], weight), np.concatenate([[0], ends[:-1]]), dtype=np.float64)
+        self.row[at[known]] = 0
+        return shared / (self.whole[chosen] + w.sum(dtype=np.float64) - shared)
+
+
+def links_across(
+    left: list[tuple], right: list[tuple], bucket: int, similar: float, vector
+) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect documents of different classes. Documents: ``(node, class, bands, text)``.
+
+    A pair is compared in the first bucket that its documents share, once, and only while they are not connected.
+    """
+    vectors = {}
+    for node, _, _, text in [*left, *right]:
+        if node not in vectors:
+            vectors[node] = vector(text)
+    block = Block([vectors[d[0]] for d in right])
+    bands = np.array([d[2] for d in right])
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    top: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    place = {d[0]: i for i, d in enumerate(right)}
+    open_ = np.ones(len(right), bool)  # not yet compared with everything here
+    roots = np.array([hash(d[1]) for d in right])
+    for node, own, own_bands, _ in left:
+        mine = root(own)
+        chosen = open_ & (roots != hash(mine)) & ((bands == np.array(own_bands)).argmax(axis=1) == band)
+        if chosen.any():
+            at = np.flatnonzero(chosen)
+            for j in at[block.similarity(vectors[node], chosen) >= similar]:
+                other = root(right[j][1])
+                if other != mine:
+                    top[other] = mine
+                    roots[roots == hash(other)] = hash(mine)
+                    yield node, right[j][0]
+        if node in place:
+            open_[place[node]] = False
+
+
+def _in_blocks(
+    members: DataFrame, classes: DataFrame, texts: DataFrame, counts: np.ndarray, total: int, similar: float
+) -> DataFrame:
+    """Links between documents of different classes that share a bucket. ``texts``: ``node, text, bands``."""
+    shipped = members.sparkSession.sparkContext.broadcast((counts, total))
+
+    once: list = []  # what a task needs for all its groups
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        if not once:
+            once.append(_vectors(Weights(*shipped.value)))
+        columns = ["node", "class", "bands", "text"]
+        strays = list(rows.loc[rows["stray"], columns].itertuples(index=False, name=None))
+        others = list(rows.loc[~rows["stray"], columns].itertuples(index=False, name=None))
+        bucket = int(rows["bucket"].iloc[0])
+        found = list(links_across(strays, others, bucket, similar, once[0])) if strays and others else []
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    own = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    several = own.groupBy("bucket").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")
+    ).where("low <> high").select("bucket", "main")
+    rest = written(own.join(several.hint("merge"), "bucket").select(
+        "bucket", "node", "class", "size", (F.col("class") != F.col("main")).alias("stray")), "strays")
+    blocks = rest.groupBy("bucket").agg(*[
+        (F.floor(F.sum(F.when(which, F.col("size")).otherwise(0)) / BLOCK_CHARS) + 1).cast("int").alias(name)
+        for name, which in (("n_strays", F.col("stray")), ("n_all", F.lit(True)))
+    ])
+    dealt = rest.join(blocks.hint("merge"), "bucket")
+
+    def part(n: str, seed: int):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # A stray meets every block of all, a document of a block every block of strays.
+    columns = ("bucket", "node", "class")
+    left = dealt.where("stray").select(*columns, part("n_strays", 1).alias("i"), every("n_all").alias("j"))
+    right = dealt.select(*columns, part("n_all", 2).alias("j"), every("n_strays").alias("i"))
+    both = left.withColumn("stray", F.lit(True)).unionByName(right.withColumn("stray", F.lit(False)))
+    return both.join(texts.select("node", "text", "bands").hint("merge"), "node").groupBy("bucket", "i", "j").applyInPandas(
+        compared, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,37 +397,6 @@ def components(links: DataFrame) -> DataFrame:
             return found
 
 
-def _pairs(members: DataFrame, classes: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in this round, and the members of the buckets that are not done without their pivots."""
-    own = members.withColumn("class", F.col("node")) if classes is None else members.join(
-        classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    buckets = own.groupBy("bucket").agg(
-        F.min("class").alias("lowest"), F.max("class").alias("highest"), F.count(F.lit(1)).alias("n"),
-        F.lit(None).cast("binary").alias("main") if classes is None else F.mode("class").alias("main"),
-    ).where(F.col("lowest") != F.col("highest"))
-    rest = own.join(buckets.select("bucket", "main"), "bucket")
-    rank = F.xxhash64("bucket", "node", F.lit(turn))
-    stray = F.col("main").isNull() | (F.col("class") != F.col("main"))
-    if classes is None:
-        first = rest.groupBy("bucket").agg(F.min("node").alias("first"), F.lit(1).alias("n"))
-    else:
-        first = rest.where(stray).groupBy("bucket").agg(
-            F.min_by("node", rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    share = F.lit(float(MORE_PIVOTS ** (turn - 1))) / F.col("n") if turn else F.lit(0.0)
-    marked = written(rest.join(first, "bucket").select(
-        "bucket", "node", "class",
-        ((F.col("node") == F.col("first")) | (stray & (F.pmod(rank, F.lit(1 << 20)) / float(1 << 20) < share))
-         ).alias("pivot"),
-    ), "members")
-    pivots = marked.where("pivot").select("bucket", F.col("node").alias("a"), F.col("class").alias("a_class"))
-    both = marked.select("bucket", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("pivot"))
-    # Of two pivots one compares: the lower.
-    pairs = pivots.join(both, "bucket").where(
-        (F.col("a_class") != F.col("b_class")) & (~F.col("pivot") | (F.col("a") < F.col("b")))
-    ).select("a", "b").distinct()
-    return pairs, marked.where(~F.col("pivot")).select("bucket", "node")
-
-
 def classes_of(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``key``, ``doc_id``, ``class_id`` (lowest doc_id), ``first`` (this row names the class) and ``n_class`` (rows).
 
@@ -315,22 +408,21 @@ def classes_of(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nodes = signed.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
     members = nodes.select("node", "key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = written(members.join(shared, "bucket", "left_semi"), "members")
-    wanted = members.groupBy("key").agg(F.first("node").alias("node"))
-    own = written(texts.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text"), "texts")
-    members, links, classes, turn = members.select("bucket", "node"), None, None, 0
-    while True:
-        pairs, members = _pairs(members, classes, turn)
-        found = written(_verified(written(pairs, "pairs"), own, counts, total, similar), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            classes = components(links)
-        turn += 1
-        if members.isEmpty():
-            break
+    members = written(members.join(shared.hint("merge"), "bucket", "left_semi"), "members")
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    own = written(
+        texts.select("key", "text").join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select(
+            "node", "text", "bands", F.length("text").cast("bigint").alias("size")),
+        "texts",
+    )
+    members = written(members.select("bucket", "node").join(own.select("node", "size"), "node"), "members")
+    links = written(_with_lowest(members, own, counts, total, similar), "links")
+    classes = components(links)
+    more = written(_in_blocks(members, classes, own, counts, total, similar), "links")
+    if not more.isEmpty():
+        classes = components(links.union(more))
     named = signed.select("key", "doc_id", "node")
-    if classes is not None:
-        named = named.join(classes, "node", "left").withColumn("node", F.coalesce("class", "node")).drop("class")
+    named = named.join(classes, "node", "left").withColumn("node", F.coalesce("class", "node")).drop("class")
     named = named.select("key", "doc_id", "node").unionByName(
         texts.join(signed.select("key"), "key", "left_anti").select("key", "doc_id", F.col("key").alias("node"))
     )
