@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitflow.llm.shared import row_key, travels, written
+from visitflow.llm.shared import row_key, text_slices, travels, written
 
 travels(__name__)
 
@@ -92,15 +92,17 @@ def chunks_of(text: str | None) -> Iterator[tuple[int, int, bytes, list[int], li
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        found = [
-            (key, doc, *chunk)
-            for key, doc, text in zip(rows["key"], rows["doc_id"], rows["text"], strict=True)
-            for chunk in chunks_of(text)
-        ]
-        for low in range(0, len(found), 50_000):
-            yield pd.DataFrame(
-                found[low:low + 50_000], columns=["key", "doc_id", "start", "lines", "digest", "before", "after"]
-            ).astype({"doc_id": "Int64"})
+        for low, high in text_slices(rows["text"].tolist()):
+            part = rows.iloc[low:high]
+            found = [
+                (key, doc, *chunk)
+                for key, doc, text in zip(part["key"], part["doc_id"], part["text"], strict=True)
+                for chunk in chunks_of(text)
+            ]
+            if found:
+                yield pd.DataFrame(
+                    found, columns=["key", "doc_id", "start", "lines", "digest", "before", "after"]
+                ).astype({"doc_id": "Int64"})
 
 
 def _bytes_at(texts: pd.Series, ranges: pd.Series) -> pd.Series:

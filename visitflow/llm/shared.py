@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker turns into arrays at once; a single longer text makes a batch of its own.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 
 
 
@@ -76,7 +76,7 @@ def text_slices(texts: Sequence[str | None], most: int = BATCH_CHARS) -> Iterato
 class Cache(dict):
     """Values computed once per key; emptied when it holds ``most`` keys, so a worker's memory stays bounded."""
 
-    def __init__(self, compute, most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, compute, most: int = 150_000, longest: int = 64) -> None:
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
 
