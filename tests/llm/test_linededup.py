@@ -62,3 +62,36 @@ def test_boundaries_do_not_depend_on_what_is_before(spark):
     whole = {b for _, b in L.chunk_bounds(hashes, words)}
     shifted = {b + 37 for _, b in L.chunk_bounds(hashes[37:], words[37:])}
     assert {b for b in whole if b > 37 + L.ROLL} == {b for b in shifted if b > 37 + L.ROLL}
+
+
+def test_short_paragraphs_set_apart_by_empty_lines(spark):
+    rng = random.Random(5)
+    passage = [_line(rng, n) for n in (7, 3, 19, 5, 2, 9)]
+    own = {i: [_line(rng, rng.randrange(2, 20)) for _ in range(8)] for i in range(30)}
+    texts = [(i, "\n\n".join(p[:4] + passage + p[4:])) for i, p in own.items()]
+    got = {r["doc_id"]: r["text"] for r in L.without_copies(rows.documents(spark, texts)).collect()}
+    assert got[0] == texts[0][1]
+    for i in range(1, 30):
+        assert [x for x in got[i].split("\n") if x] == own[i]
+
+
+def test_no_repeated_passage_is_missed(spark):
+    """Against all ranges of lines, longest and shortest, of texts with many lines in common."""
+    rng = random.Random(6)
+    some = [_line(rng, n) for n in (1, 1, 2, 3, 5, 8, 11, 12, 19, 20, 30)] + ["", "", " "]
+    texts = [(i, "\n".join(rng.choice(some) for _ in range(rng.randrange(1, 25)))) for i in range(60)]
+    seen, gone = set(), {}
+    for d, text in texts:
+        lines = text.split("\n")
+        words, gone[d] = [len(x.split()) for x in lines], set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                total, several = sum(words[a:b]), sum(n > 0 for n in words[a:b]) > 1
+                if total >= L.LONG or total >= L.SHORT and several:
+                    if (passage := tuple(lines[a:b])) in seen:
+                        gone[d].update(i for i in range(a, b) if words[i])
+                    seen.add(passage)
+    got = {r["doc_id"]: r for r in L.deduplicated(rows.documents(spark, texts)).select("row.doc_id", "row.text", "gone").collect()}
+    for d, _ in texts:
+        lines = got[d]["text"].split("\n")
+        assert {i for i in got[d]["gone"] if lines[i].split()} == gone[d]

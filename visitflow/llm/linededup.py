@@ -1,13 +1,11 @@
-"""Repeated passages of lines, found as content-defined chunks.
+"""Repeated passages of lines, found by their shortest ranges that count.
 
-* A text is cut after every line at which a rolling hash over the last ``ROLL`` line hashes is 0 modulo ``EVERY``, and
-  around every line of ``LONG`` words or more. Boundaries depend on nearby lines only, so a passage is cut alike wherever
-  it stands. The two lines around a boundary make a chunk, too: a passage of a few lines need not hold a whole chunk, but
-  mostly holds a boundary. All this is done once for each of ``MIXES``, which leaves few passages without either.
-* A chunk counts when it has two lines with words and ``SHORT`` words, or ``LONG`` words. Chunks of one digest form a
-  group; the one of lowest (doc_id, row, line) is its original, and the bytes of each other one are compared with it.
-* A confirmed copy is extended over the lines before and after it that equal those around the original: a passage need
-  not begin at a boundary.
+* A range of lines counts when it has two lines with words and ``SHORT`` words, or ``LONG`` words. From every line with
+  words on, the shortest range that counts is a chunk, and so is the shortest one up to that line; lines without words
+  in between belong to it. A passage that counts is the union of the chunks in it, so none that is repeated is missed.
+* Chunks of one digest form a group; the one of lowest (doc_id, row, line) is its original, and the bytes of each other
+  one are compared with it.
+* A confirmed copy takes along the lines without words next to it that equal those around the original.
 
 Copies go, originals stay: what a line is removed for always stands earlier, so one copy of every passage is left. A
 document that loses all its lines with words goes; one that had none before stays.
@@ -22,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,7 +39,7 @@ LONG = 20
 CHUNK = "key binary, doc_id bigint, start int, lines int, digest binary, before array<bigint>, after array<bigint>"
 
 
-REACH = 8  # lines beyond a chunk that are compared with those beyond its original; more lines hold chunks themselves
+REACH = 8  # lines without words beyond a chunk that are compared with those beyond its original
 
 
 def _hash(line: bytes) -> int:
@@ -50,7 +49,7 @@ def _hash(line: bytes) -> int:
 def chunk_bounds(
     hashes: list[int], words: list[int], mix: int = MIXES[0], roll: int = ROLL, every: int = EVERY
 ) -> list[tuple[int, int]]:
-    """Ranges of lines, one after the other."""
+    """Ranges of lines, one after the other, cut by their content. ``copied_lines`` reads ``shortest_ranges`` instead."""
     out, start, rolled = [], 0, 0
     weight = pow(31, roll, 1 << 64)
     for i, h in enumerate(hashes):
@@ -68,26 +67,35 @@ def chunk_bounds(
     return out
 
 
+def shortest_ranges(words: list[int]) -> list[tuple[int, int]]:
+    """The shortest ranges that count from every line with words on and up to every such line, by its words."""
+    at = [i for i, n in enumerate(words) if n]
+    found = set()
+    for s in range(len(at)):
+        for way in (range(s, len(at)), range(s, -1, -1)):
+            total = 0
+            for k in way:
+                total += words[at[k]]
+                if total >= LONG or total >= SHORT and k != s:
+                    found.add((at[min(s, k)], at[max(s, k)] + 1))
+                    break
+    return sorted(found)
+
+
 def chunks_of(text: str | None) -> Iterator[tuple[int, int, bytes, list[int], list[int]]]:
-    """Chunks that count: start, lines, digest, and the hashes of the lines of the neighbours, nearest first."""
+    """Chunks: start, lines, digest, and the hashes of the lines without words next to them, nearest first."""
     if not text:
         return
     raw = text.encode("utf-8", "replace").split(b"\n")
-    hashes = [_hash(line) for line in raw]
     words = [len(line.split()) for line in raw]
-    seen = set()
-    for mix in MIXES:
-        bounds = chunk_bounds(hashes, words, mix)
-        pairs = [
-            (b - 1, b + 1) for _, b in bounds[:-1] if 0 < words[b - 1] < LONG and 0 < words[b] < LONG
-        ]
-        for a, b in bounds + pairs:
-            total = sum(words[a:b])
-            if (a, b) in seen or not (total >= LONG or total >= SHORT and sum(w > 0 for w in words[a:b]) >= 2):
-                continue
-            seen.add((a, b))
-            before, after = hashes[max(0, a - REACH):a][::-1], hashes[b:b + REACH]
-            yield a, b - a, blake2b(b"\n".join(raw[a:b]), digest_size=16).digest(), before, after
+
+    def wordless(lines: range) -> list[int]:
+        return [_hash(raw[i]) for i in takewhile(lambda i: not words[i], lines)]
+
+    for a, b in shortest_ranges(words):
+        before = wordless(range(a - 1, max(-1, a - 1 - REACH), -1))
+        after = wordless(range(b, min(len(raw), b + REACH)))
+        yield a, b - a, blake2b(b"\n".join(raw[a:b]), digest_size=16).digest(), before, after
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
