@@ -116,3 +116,34 @@ def test_query_checksums(spark, sf_dir, tokenizer):
         ids = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [P.END]
         own = np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes()
         assert zlib.crc32(own) == r["ids_crc32"]
+
+
+@pytest.fixture(scope="module")
+def encode():
+    return P.Encoder(registry.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def contract_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([
+    "<|endoftext|>", "<|endoftext", "|>", "<|", "endoftext", "a", "b's", " ", "  ", "\n", "\t", "1", "é", "　"]), max_size=12))
+def test_added_tokens_have_ids_of_their_own(contract_tokenizer, encode, parts):
+    text = "".join(parts)
+    assert np.frombuffer(encode(text), "<u4").tolist() == contract_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_documents(spark, contract_tokenizer):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x " * 1500 + "<|endoftext|>\n y")]
+    found = {}
+    for r in sorted(P.packed(rows.documents(spark, texts), registry.VOCABULARY).collect(), key=lambda r: r["start"]):
+        found[r["doc_id"]] = found.get(r["doc_id"], b"") + bytes(r["ids"])
+    for d, text in texts:
+        ids = contract_tokenizer.encode(text, add_special_tokens=False).ids + [P.END]
+        assert np.frombuffer(found[d], "<u4").tolist() == ids
+    assert np.frombuffer(found[1], "<u4").tolist() == [64, 220, 50256, 275, P.END]

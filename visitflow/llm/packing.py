@@ -15,8 +15,10 @@ Null texts are empty texts: a document of one end mark. Equal rows are packed ea
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -39,9 +41,21 @@ _ROOM = re.compile(r"\s ")
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The tokens that are found in plain text before it is split, and their ids."""
+    tokens = json.loads(Path(vocabulary).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that look at their surroundings are not supported: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers, with the merges that ``tokenizers`` applies.
 
+    Added tokens, which the ``.json`` file beside the vocabulary names, are found in the text first and have ids of their
+    own, as ``tokenizers`` has it with ``add_special_tokens=False``, too; what stands between them is encoded by itself.
+
     Texts are split before single spaces, where no token reaches across, and the ids of every such word are remembered.
     A text with white space before a space is encoded whole.
     """
@@ -54,8 +68,19 @@ class Encoder:
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids = lambda text: np.array(encoding.encode_ordinary(text), "<u4").tobytes()
         self._first, self._next = Cache(self._ids), Cache(lambda word: self._ids(" " + word))
+        self._added = {text: np.array([number], "<u4").tobytes() for text, number in added_tokens(vocabulary).items()}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(map(re.escape, longest))})").split if longest else lambda text: [text]
 
     def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        between = self._split(text)
+        if len(between) == 1:
+            return self._ordinary(text)
+        return b"".join(self._added[part] if n % 2 else self._ordinary(part) for n, part in enumerate(between))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if _ROOM.search(text) or text[0].isspace() and len(text) == 1:
