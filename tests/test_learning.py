@@ -162,3 +162,12 @@ def test_nearest_takes_the_first_of_equals(spark):
     assert sorted((r["x"], r["cluster"], r["distance"]) for r in got.collect()) == [
         (0.0, 0, 0.0), (1.0, 0, 1.0), (2.0, 1, 0.0)]
     assert tuple(learning.inertia(got).first()) == (1.0, 3)
+
+
+def test_visits_learned_from_are_counted_apart(table):
+    trained = learning.train_score(table, trees=2, depth=2, labelled=40)
+    row = trained.metrics.first()
+    assert row["n_training_samples"] == table.where("satisfaction_score IS NOT NULL").count()
+    assert row["n_fit_samples"] == trained.data.where("is_fit AND NOT is_test").count()
+    assert 0 < row["n_fit_samples"] <= 40
+    trained.release()

@@ -373,7 +373,8 @@ def train_score(
 ) -> Trained:
     """Random forest for the satisfaction score, on scored visits only; plain 80/20 test.
 
-    It learns from at most ``labelled`` visits; predictions and metrics cover all visits of the test part.
+    It learns from at most ``labelled`` visits (``n_fit_samples``, of all ``n_training_samples`` scored ones); predictions
+    and metrics cover all visits of the test part.
     """
     rated = visits.where(F.col("satisfaction_score").isNotNull()).withColumn("label", F.col("satisfaction_score"))
     matrix, encoder = feature_matrix(rated, "patient_id", "label")
@@ -381,9 +382,10 @@ def train_score(
     forest = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, trees, depth, seed))
     model = forest.fit(data.where("is_fit AND NOT is_test"))
     predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
-    metrics = regression_metrics(predictions).withColumn(
-        "n_training_samples", data.agg(F.count(F.lit(1)).alias("n")).scalar()
-    )
+    metrics = regression_metrics(predictions).withColumns({
+        "n_training_samples": data.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        "n_fit_samples": data.agg(F.count_if(F.expr("is_fit AND NOT is_test")).alias("n")).scalar(),
+    })
     return Trained(model, encoder, predictions, metrics, importances(model, data), data)
 
 
