@@ -125,21 +125,12 @@ def _score_results(df: DataFrame) -> dict[str, DataFrame]:
     return {"metrics": trained.metrics, "importances": trained.importances, "done": trained}
 
 
-_RESULTS: dict[tuple, dict[str, tuple[list, object]]] = {}
-
-
 def _trained(train: Callable[[DataFrame], dict], pick: str, *columns: str) -> Query:
-    """A small result of a model. Training runs once for a session and path; its few result rows stay, its data goes."""
+    """A small result of a model. Every call trains; the features are released, and read again with the result."""
     def run(spark: SparkSession, path: str) -> DataFrame:
-        name = (spark.sparkContext.applicationId, path, train)
-        if name not in _RESULTS:
-            results = train(visits(spark, path, *columns))
-            owner = results.pop("done")
-            try:
-                _RESULTS[name] = {key: (frame.collect(), frame.schema) for key, frame in results.items()}
-            finally:
-                owner.release()
-        return spark.createDataFrame(*_RESULTS[name][pick])
+        results = train(visits(spark, path, *columns))
+        results["done"].release()
+        return results[pick]
 
     return run
 

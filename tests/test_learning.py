@@ -171,3 +171,12 @@ def test_visits_learned_from_are_counted_apart(table):
     assert row["n_fit_samples"] == trained.data.where("is_fit AND NOT is_test").count()
     assert 0 < row["n_fit_samples"] <= 40
     trained.release()
+
+
+def test_every_call_of_a_query_trains(spark, sf_dir, monkeypatch):
+    from __spark_entry__ import queries
+
+    calls, train = [], learning.train_score
+    monkeypatch.setattr(learning, "train_score", lambda df: calls.append(1) or train(df, trees=2, depth=2))
+    first, again = (queries()["score_model_metrics"](spark, sf_dir).collect() for _ in range(2))
+    assert len(calls) == 2 and first == again
