@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitflow.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, toxicity, urlfilter, warc
+from visitflow.llm import (
+    codes,
+    decontaminate,
+    graysearch,
+    lexsearch,
+    licenses,
+    linededup,
+    neardup,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+    urlfilter,
+    warc,
+)
 from visitflow.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -132,6 +146,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(pages, listing).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graysearch.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_nodes")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexsearch.ranked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.coded(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = codes.with_group_error(found.rows, F.col("row.label"))
+    digits = F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return rows.select(
+        "row.vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.lit(found.digest()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
@@ -143,6 +178,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_simhash": op11_simhash,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
@@ -211,8 +249,53 @@ FROM judged
 """
 
 
+def _codes_sql() -> str:
+    """Parts in long form; every round is one table of assignments and one of entries."""
+    n, scale, parts = codes.ENTRIES, codes.SCALE, codes.PARTS
+
+    def placed(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, p, min(d * {n} + e) % {n} AS e, min(d * {n} + e) // {n} AS d FROM (
+    SELECT vec_id, x.p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d
+    FROM x JOIN b{k} ON x.p = b{k}.p AND x.k = b{k}.k GROUP BY vec_id, x.p, e
+  ) GROUP BY vec_id, p
+)"""
+
+    steps = ", ".join(
+        placed(k) + f""", b{k + 1} AS MATERIALIZED (
+  SELECT b{k}.p, b{k}.e, b{k}.k, coalesce(m.y, b{k}.y) AS y FROM b{k} LEFT JOIN (
+    SELECT x.p, a{k}.e, x.k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS y
+    FROM x JOIN a{k} ON x.vec_id = a{k}.vec_id AND x.p = a{k}.p GROUP BY x.p, a{k}.e, x.k
+  ) AS m ON m.p = b{k}.p AND m.e = b{k}.e AND m.k = b{k}.k
+)"""
+        for k in range(codes.ROUNDS)
+    )
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(embedding) // {parts}) AS p, (i - 1) % (len(embedding) // {parts}) AS k,
+    CAST(floor({scale} * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM kept, unnest(range(1, len(embedding) + 1)) AS r(i)
+), b0 AS MATERIALIZED (
+  SELECT p, e, k, x AS y FROM x JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {n}
+  ) USING (vec_id)
+), {steps}, {placed(last)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{last} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, k)) FROM b{last}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_9 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TERMS_12 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 ORACLE: dict[str, str] = {
     "op3_quality": _quality_sql(),
@@ -264,4 +347,24 @@ urls AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """,
+    "op12_lexical_search": f"""
+WITH items AS (
+  SELECT DISTINCT item_id, unnest(list_distinct({_TERMS_12})) AS term FROM benchmark WHERE text IS NOT NULL
+), terms AS (
+  SELECT doc_id, unnest({_TERMS_12}) AS term FROM documents WHERE text IS NOT NULL
+), counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+sizes AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+lengths AS (SELECT doc_id, 10 + (90 * n * docs) // all_terms AS m FROM sizes, whole),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole
+  GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+""",
+    "op13_vector_codes": _codes_sql(),
 }
