@@ -9,13 +9,16 @@ from visitflow.llm.shared import table
 
 
 def _all_maximal(scores):
-    """By the definition: recursively the best segment, then those left and right of it."""
+    """By the definition: recursively the best segment, the shortest of equal ones, then those left and right of it.
+
+    A proper part of a maximal segment scores less than the whole, so of equal scores the shorter segment is maximal.
+    """
     best, at = 0.0, None
     for i in range(len(scores)):
         total = 0.0
         for j in range(i, len(scores)):
             total += scores[j]
-            if total > best + 1e-9:
+            if total > best + 1e-9 or at and total > best - 1e-9 and j + 1 - i < at[1] - at[0]:
                 best, at = total, (i, j + 1)
     if at is None:
         return []
@@ -35,6 +38,11 @@ def test_segments_have_the_best_total_and_do_not_overlap(scores):
         assert abs(sum(scores[a:b]) - s) < 1e-6
 
 
+def test_of_equal_segments_the_shorter_are_maximal():
+    assert sorted(toxicity.segments(np.array([1.0, 1.0, -2.0, 3.0]))) == [(0, 2, 2.0), (3, 4, 3.0)]
+    assert sorted(toxicity.segments(np.array([1.0, -1.0, 1.0]))) == [(0, 1, 1.0), (2, 3, 1.0)]
+
+
 def _labelled(spark, n=240):
     texts, labels = [], []
     for i in range(n):

@@ -96,7 +96,10 @@ def scores_of(words: list[bytes], known: Cache) -> np.ndarray:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments ``(start, end, score)``, ``end`` exclusive, in one pass over the positive words."""
+    """All maximal scoring segments ``(start, end, score)``, ``end`` exclusive, in one pass over the positive words.
+
+    Every proper part of a segment scores less than the whole: of equal segments the shorter ones are found.
+    """
     ups = np.flatnonzero(scores > 0)
     if not len(ups):
         return []
