@@ -112,27 +112,14 @@ def _assigned(df: DataFrame) -> DataFrame:
     return learning.nearest(points, CENTROIDS, ["x", "y"])
 
 
-def _admission_results(df: DataFrame) -> dict[str, DataFrame]:
-    trained = learning.train_admission(df, parallelism=5)
-    return {
-        "metrics": trained.metrics, "report": learning.classification_report(trained.predictions),
-        "importances": trained.importances, "done": trained,
-    }
+def _admission(pick: Callable[[learning.Trained], DataFrame], **options) -> Query:
+    """A small result of the admission model; every call trains."""
+    return lambda spark, path: pick(
+        learning.train_admission(visits(spark, path, *_FEATURES, "is_admitted"), **options))
 
 
-def _score_results(df: DataFrame) -> dict[str, DataFrame]:
-    trained = learning.train_score(df)
-    return {"metrics": trained.metrics, "importances": trained.importances, "done": trained}
-
-
-def _trained(train: Callable[[DataFrame], dict], pick: str, *columns: str) -> Query:
-    """A small result of a model. Every call trains; the features are released, and read again with the result."""
-    def run(spark: SparkSession, path: str) -> DataFrame:
-        results = train(visits(spark, path, *columns))
-        results["done"].release()
-        return results[pick]
-
-    return run
+def _score(pick: Callable[[learning.Trained], DataFrame]) -> Query:
+    return lambda spark, path: pick(learning.train_score(visits(spark, path, *_FEATURES, "satisfaction_score")))
 
 
 _Q: dict[str, Query] = {
@@ -320,13 +307,19 @@ _Q: dict[str, Query] = {
         _cluster_profiles, "age", "wait_time", "satisfaction_score_filled", "is_admitted", "has_referral"
     ),
     # models (iterative, so without a SQL twin)
-    "admission_model_metrics": _trained(_admission_results, "metrics", *_FEATURES, "is_admitted"),
-    "admission_model_report": _trained(_admission_results, "report", *_FEATURES, "is_admitted"),
-    "admission_importances": _trained(_admission_results, "importances", *_FEATURES, "is_admitted"),
-    "score_model_metrics": _trained(_score_results, "metrics", *_FEATURES, "satisfaction_score"),
-    "score_importances": _trained(_score_results, "importances", *_FEATURES, "satisfaction_score"),
-    "patient_segments": _on(lambda v: learning.cluster_table(learning.segment(v, parallelism=5).profiles), *_SEGMENT),
-    "segment_scatter": _on(lambda v: charts.segment_scatter(learning.segment(v, parallelism=5).clustered), *_SEGMENT),
+    "admission_model_metrics": _admission(lambda t: t.metrics),
+    "admission_model_report": _admission(lambda t: learning.classification_report(t.predictions), folds=0),
+    "admission_importances": _admission(lambda t: t.importances, folds=0),
+    "score_model_metrics": _score(lambda t: t.metrics),
+    "score_importances": _score(lambda t: t.importances),
+    "patient_segments": _on(
+        lambda v: learning.cluster_table(learning.segment_from_fixed_starts(v).profiles), *_SEGMENT),
+    "segment_scatter": _on(
+        lambda v: charts.segment_scatter(learning.segment_from_fixed_starts(v).clustered), *_SEGMENT),
+    "patient_segments_drawn": _on(
+        lambda v: learning.cluster_table(learning.segment(v, parallelism=5).profiles), *_SEGMENT),
+    "segment_scatter_drawn": _on(
+        lambda v: charts.segment_scatter(learning.segment(v, parallelism=5).clustered), *_SEGMENT),
     # quality
     "quality_summary": _on(quality.summary),
     "quarantined_visits": _on(_quarantined),

@@ -159,6 +159,55 @@ def _segment_features() -> str:
     return f", imputed AS (SELECT patient_id, {imputed} FROM visits) SELECT patient_id, {scaled} FROM imputed"
 
 
+def _lloyd(k: int = 4, starts: int = 10, unit: int = 1_000_000, rounds: int = 300) -> str:
+    """K-Means in whole units from visits of lowest hash: one row of ``steps`` for each round, start and centre."""
+    d = range(len(_SEGMENT))
+    imputed = ", ".join(
+        f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM visits)) AS {c}" for c in _SEGMENT
+    )
+    scaled = ", ".join(
+        f"CAST(round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () * {unit}) AS BIGINT) AS x{j}"
+        for j, c in enumerate(_SEGMENT)
+    )
+    x, c, o = (", ".join(f"{name}{j}" for j in d) for name in "xco")
+    far = " + ".join(f"(CAST(x{j} AS DOUBLE) - c{j}) * (CAST(x{j} AS DOUBLE) - c{j})" for j in d)
+    means = ", ".join(
+        f"coalesce(CAST(floor(CAST(2 * sum(n * x{j}) FILTER (best) + sum(n) FILTER (best) AS DOUBLE) "
+        f"/ (2 * sum(n) FILTER (best))) AS BIGINT), c{j}) AS m{j}" for j in d
+    )
+    moved = " + ".join(f"pow(CAST(m{j} AS DOUBLE) - c{j}, 2)" for j in d)
+    return f""", imputed AS (SELECT patient_id, {imputed} FROM visits),
+scaled AS MATERIALIZED (SELECT patient_id, {scaled} FROM imputed),
+points AS MATERIALIZED (SELECT row_number() OVER () AS point, * FROM (SELECT {x}, count(*) AS n FROM scaled GROUP BY {x})),
+chosen AS (
+  SELECT (r - 1) // {k} AS start, (r - 1) % {k} AS cluster, {", ".join(f"x{j} AS c{j}" for j in d)} FROM (
+    SELECT *, row_number() OVER (ORDER BY md5('42|' || patient_id), {x}) AS r FROM scaled QUALIFY r <= {k * starts}
+  )
+), steps AS (
+  SELECT 0 AS step, start, cluster, {c}, true AS open FROM chosen
+  UNION ALL
+  SELECT step + 1, start, cluster, {", ".join(f"m{j}" for j in d)},
+    sum({moved}) OVER (PARTITION BY start) >= {1e-4 * unit**2}
+  FROM (
+    SELECT step, start, cluster, {c}, {means} FROM (
+      SELECT *, row_number() OVER (PARTITION BY start, point ORDER BY {far}, cluster) = 1 AS best
+      FROM steps JOIN points ON true WHERE open AND step < {rounds}
+    ) GROUP BY step, start, cluster, {c}
+  )
+), last AS MATERIALIZED (SELECT * FROM steps QUALIFY step = max(step) OVER (PARTITION BY start)),
+costs AS (
+  SELECT start, sum(n * CAST(d AS DECIMAL(38, 0))) AS cost FROM (
+    SELECT start, n, min({far}) AS d FROM last JOIN points ON true GROUP BY start, point, n
+  ) GROUP BY start
+), centres AS (SELECT * FROM last WHERE start = (SELECT start FROM costs ORDER BY cost, start LIMIT 1)),
+placed AS (
+  SELECT {x}, CAST(cluster AS INT) AS cluster FROM points JOIN centres ON true
+  QUALIFY row_number() OVER (PARTITION BY point ORDER BY {far}, cluster) = 1
+), clustered AS (
+  SELECT v.*, cluster FROM visits v JOIN scaled USING (patient_id) JOIN placed USING ({x})
+)"""
+
+
 def _assigned(wanted: str = "") -> str:
     """Visits assigned to the nearest of four fixed centroids in (age / 10, wait / 10)."""
     points = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(CENTROIDS))
@@ -546,6 +595,14 @@ _BODIES: dict[str, str] = {
              AS satisfaction_score_filled, {even('avg(CAST(is_admitted AS INT))')} AS is_admitted,
              {even('avg(CAST(has_referral AS INT))')} AS has_referral, count(*) AS size
       FROM visits GROUP BY cluster""",
+    "patient_segments": _lloyd() + f"""
+      SELECT cluster, {even('avg(age)')} AS avg_age, {even('avg(wait_time)')} AS avg_wait,
+             {even('avg(satisfaction_score_filled)')} AS avg_satisfaction,
+             {even('avg(CAST(is_admitted AS INT))')} AS admitted_rate,
+             {even('avg(CAST(has_referral AS INT))')} AS referral_rate, count(*) AS size
+      FROM clustered GROUP BY cluster""",
+    "segment_scatter": _lloyd() + " SELECT patient_id, wait_time, satisfaction_score_filled, cluster FROM clustered "
+                                  + _SAMPLE + " 2000",
     # quality
     "quality_summary": _quality(),
     "quarantined_visits": "SELECT patient_id, 'admission_date_present' AS violations FROM visits "
@@ -569,4 +626,6 @@ _BODIES: dict[str, str] = {
                    "min(age) AS min_age, max(age) AS max_age FROM visits",
 }
 
-ORACLE = {name: VISITS + ("\n" if body.lstrip().startswith(",") else "\n") + body for name, body in _BODIES.items()}
+_RECURSIVE = VISITS.replace("WITH base", "WITH RECURSIVE base", 1)
+
+ORACLE = {name: (_RECURSIVE if ", steps AS" in body else VISITS) + ("\n" if body.lstrip().startswith(",") else "\n") + body for name, body in _BODIES.items()}

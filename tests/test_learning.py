@@ -39,7 +39,7 @@ def test_classifier_finds_the_planted_rule(table):
     assert again.metrics.first()["accuracy"] == row["accuracy"]
     target = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/model"
     learning.save_model(trained, target)
-    assert len(PipelineModel.load(target).stages) == 2
+    assert len(PipelineModel.load(target + "/0").stages) == 2
     trained.release()
     again.release()
 

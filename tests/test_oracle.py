@@ -13,7 +13,7 @@ QUERIES = entry_module.queries()
 # Iterative models and p-values have no SQL form; their own tests cover them.
 WITHOUT_SQL = {
     "admission_model_metrics", "admission_model_report",
-    "admission_importances", "score_model_metrics", "score_importances", "patient_segments", "segment_scatter",
+    "admission_importances", "score_model_metrics", "score_importances", "patient_segments_drawn", "segment_scatter_drawn",
 }
 
 

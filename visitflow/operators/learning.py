@@ -1,7 +1,8 @@
 """Model inputs, models and their metrics, on MLlib.
 
-Features are computed and persisted once per training; every fit, fold and metric reads them from there. Splits and
-folds come from hash ranks (see ``sampling``), so no training step sorts or collects the visits.
+Features are computed once per training and kept as a table; every fit, fold and metric reads them from there. Splits and
+folds come from hash ranks (see ``sampling``), so no training step sorts or collects the visits. Forests are grown in
+groves (see ``forests``).
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import sqrt
 from multiprocessing.pool import ThreadPool
-from statistics import fmean, pstdev
 
 from pyspark import StorageLevel
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitflow.functions.numeric import half_even, share
+from visitflow.operators import lloyd
+from visitflow.operators.forests import GROVE, ROW, Forest, Task, grown, majority
 from visitflow.operators.quantiles import medians
 from visitflow.operators.sampling import cutoffs, first_rank, hash_key, with_fold, with_test_flag
+from visitflow.sources.scratch import written
 
 # --- fixed values: features and training settings -----------------------------------------------------------------
 CATEGORIES = ("gender", "race", "department_referral", "time_of_day", "day_of_week")
@@ -41,7 +44,7 @@ SHIFT = 1e-4
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 DEPTH = 30  # the most that MLlib grows: in practice unbounded
-LABELLED = 20_000  # visits, those of lowest hash, that a forest learns from; deep trees are held on the driver
+LABELLED = 10_000  # visits, those of lowest hash, that a forest learns from: as many as the surveyed data set has
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------
@@ -266,9 +269,9 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def importances(model: Model, df: DataFrame) -> DataFrame:
+def importances(model: Forest, df: DataFrame) -> DataFrame:
     """Feature importances, largest first: one row per feature."""
-    rows = [(name, float(value)) for name, value in zip(FEATURES, model.featureImportances.toArray(), strict=True)]
+    rows = [(name, float(value)) for name, value in zip(FEATURES, model.featureImportances, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -278,17 +281,18 @@ def importances(model: Model, df: DataFrame) -> DataFrame:
 
 @dataclass
 class Trained:
-    """A fitted model with its results as frames; ``release()`` drops the persisted features."""
+    """A grown forest with its results as frames; ``data`` are the features, flags and folds of all visits."""
 
-    model: Model
+    model: Forest
     encoder: StringIndexerModel
     predictions: DataFrame
     metrics: DataFrame
     importances: DataFrame
     data: DataFrame
+    out_of_fold: DataFrame | None = None
 
     def release(self) -> None:
-        self.data.unpersist()
+        """Nothing is held: data and predictions are tables in the shared folder."""
 
 
 def _assembled(matrix: DataFrame, *keep: str) -> DataFrame:
@@ -311,65 +315,82 @@ def _bins(encoder: StringIndexerModel) -> int:
     return max(32, max(len(labels) for labels in encoder.labelsArray) + 1)
 
 
-def _forest_options(encoder: StringIndexerModel, trees: int, depth: int, seed: int) -> dict:
-    return {"numTrees": trees, "maxDepth": depth, "maxBins": _bins(encoder), "seed": seed, "maxMemoryInMB": 1024}
+def _forest_options(encoder: StringIndexerModel, depth: int) -> dict:
+    # With the node of every row kept beside it, a level need not send all trees to the tasks.
+    return {"maxDepth": depth, "maxBins": _bins(encoder), "maxMemoryInMB": 256, "cacheNodeIds": True}
 
 
-def _f1(predictions: DataFrame) -> float:
-    return classification_report(predictions).where(F.col("class") == "1").first()["f1"]
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """``fold`` and the F1 of class 1 in it, from one confusion count of all folds; an undefined F1 is 0."""
+    n = {name: F.count_if(F.expr(test)).cast("double") for name, test in (
+        ("hit", "label = 1 AND prediction = 1"), ("either", "label = 1"), ("guessed", "prediction = 1"))}
+    score = F.coalesce(F.try_divide(2 * n["hit"], n["either"] + n["guessed"]), F.lit(0.0))
+    return predictions.groupBy("fold").agg(score.alias("f1"))
 
 
 def _flagged(features: DataFrame, seed: int, labelled: int, folds: int, label: str | None) -> DataFrame:
-    """Persisted features with ``is_test``, ``is_fit`` (at most ``labelled`` visits) and ``fold``.
+    """Features with ``row``, ``is_test``, ``is_fit`` (at most ``labelled`` visits) and ``fold``, as a table.
 
     All cut-offs are found on features that are persisted first, so the source is not read again.
     """
-    kept = _kept(features)
+    kept = features.persist(StorageLevel.MEMORY_AND_DISK)
     data = with_test_flag(kept, seed, label=label)
     if folds:
         data = with_fold(data, label, folds, seed)
     key = hash_key(seed + 1)
     least = cutoffs(data, key, [first_rank(labelled)])[F.lit("all")][0]
     data = data.withColumn("is_fit", F.coalesce(key <= least, F.lit(False)))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
+    data = written(data.withColumn(ROW, F.monotonically_increasing_id()), "features")
     kept.unpersist()
     return data
 
 
+def _learned(data: DataFrame, condition: str) -> DataFrame:
+    return data.where(f"is_fit AND {condition}").select(ROW, "patient_id", "label", "features")
+
+
 def train_admission(
     visits: DataFrame, trees: int = TREES, depth: int = DEPTH, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int = 2, labelled: int = LABELLED,
+    parallelism: int = 4, labelled: int = LABELLED, grove: int = GROVE,
 ) -> Trained:
     """Random forest for ``is_admitted``: stratified 80/20 test, and F1 over stratified folds (``folds=0``: none).
 
     It learns from at most ``labelled`` visits; predictions and metrics cover all visits of the test part, and folds all
-    visits held out.
+    visits held out. The groves of the forest and of all folds grow side by side, ``parallelism`` at a time; every fold's
+    held-out visits are predicted by the forest of the others, and all F1 come from one count.
     """
     known = visits.withColumn("label", F.col("is_admitted").cast("int"))
     matrix, encoder = feature_matrix(known, "patient_id", "label")
     data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, folds, "label")
     if data.select("label").distinct().count() < 2:
-        data.unpersist()
         raise ValueError("the admission model needs both admitted and not admitted visits")
-    forest = RandomForestClassifier(**_forest_options(encoder, trees, depth, seed))
-
-    def fold_score(fold: int) -> float:
-        rest, held_out = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        return _f1(forest.fit(rest.where("is_fit")).transform(held_out))
-
-    model = forest.fit(data.where("is_fit AND NOT is_test"))
-    predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
-    metrics = accuracy(predictions)
+    columns = (ROW, "features")
+    tasks = [Task(_learned(data, "NOT is_test"), data.where("is_test").select(*columns), folds)]
+    tasks += [Task(_learned(data, f"fold <> {f}"), data.where(F.col("fold") == f).select(*columns), f)
+              for f in range(folds)]
+    estimator = RandomForestClassifier(**_forest_options(encoder, depth))
+    forests, votes = grown(estimator, tasks, trees, seed, grove, parallelism)
+    found = votes.select(ROW, "forest", majority(F.col("votes")).alias("prediction"))
+    said = written(found.join(data.select(ROW, "patient_id", "label"), ROW), "predictions")
+    predictions = said.where(F.col("forest") == folds).select("patient_id", "label", "prediction")
+    metrics, out_of_fold = accuracy(predictions), None
     if folds:
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(fold_score, range(folds))
-        metrics = metrics.withColumns({"cv_f1_mean": F.lit(fmean(scores)), "cv_f1_std": F.lit(pstdev(scores))})
-    return Trained(model, encoder, predictions, metrics, importances(model, data), data)
+        out_of_fold = said.where(F.col("forest") < folds).select(
+            "patient_id", "label", "prediction", F.col("forest").alias("fold"))
+        # Folds are added in their order, so that equal scores give equal sums.
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("fold", "f1"))), lambda x: x["f1"])
+        scores = fold_scores(out_of_fold).agg(ordered.alias("f1"))
+        mean = F.aggregate("f1", F.lit(0.0), lambda s, x: s + x) / F.size("f1")
+        spread = F.aggregate("f1", F.lit(0.0), lambda s, x: s + (x - F.col("cv_f1_mean")) ** 2) / F.size("f1")
+        spread = scores.select("f1", mean.alias("cv_f1_mean")).select("cv_f1_mean", F.sqrt(spread).alias("cv_f1_std"))
+        both = F.struct("cv_f1_mean", "cv_f1_std")
+        metrics = metrics.withColumn("cv", spread.select(both.alias("cv")).scalar()).select("accuracy", "cv.*")
+    return Trained(forests[0], encoder, predictions, metrics, importances(forests[0], data), data, out_of_fold)
 
 
 def train_score(
-    visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, labelled: int = LABELLED
+    visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, labelled: int = LABELLED,
+    parallelism: int = 4, grove: int = GROVE,
 ) -> Trained:
     """Random forest for the satisfaction score, on scored visits only; plain 80/20 test.
 
@@ -379,14 +400,17 @@ def train_score(
     rated = visits.where(F.col("satisfaction_score").isNotNull()).withColumn("label", F.col("satisfaction_score"))
     matrix, encoder = feature_matrix(rated, "patient_id", "label")
     data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, 0, None)
-    forest = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, trees, depth, seed))
-    model = forest.fit(data.where("is_fit AND NOT is_test"))
-    predictions = model.transform(data.where("is_test")).select("patient_id", "label", "prediction")
+    estimator = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, depth))
+    task = Task(_learned(data, "NOT is_test"), data.where("is_test").select(ROW, "features"))
+    forests, votes = grown(estimator, [task], trees, seed, grove, parallelism)
+    found = votes.select(ROW, (F.col("votes")[0] / trees).alias("prediction"))
+    predictions = written(
+        found.join(data.select(ROW, "patient_id", "label"), ROW).select("patient_id", "label", "prediction"), "predictions")
     metrics = regression_metrics(predictions).withColumns({
         "n_training_samples": data.agg(F.count(F.lit(1)).alias("n")).scalar(),
         "n_fit_samples": data.agg(F.count_if(F.expr("is_fit AND NOT is_test")).alias("n")).scalar(),
     })
-    return Trained(model, encoder, predictions, metrics, importances(model, data), data)
+    return Trained(forests[0], encoder, predictions, metrics, importances(forests[0], data), data)
 
 
 @dataclass
@@ -440,6 +464,30 @@ def segment(
     return Segments(best, clustered, cluster_profiles(clustered), inertia, n_clusters)
 
 
+@dataclass
+class FixedSegments:
+    """Clustered visits and their profile, from a fit that the rows alone decide."""
+
+    fit: lloyd.Fit
+    clustered: DataFrame
+    profiles: DataFrame
+
+
+def segment_from_fixed_starts(
+    visits: DataFrame, n_clusters: int = 4, starts: int = STARTS, seed: int = SEED
+) -> FixedSegments:
+    """K-Means on the standardized features by exact Lloyd steps from visits of lowest hash (see ``lloyd``)."""
+    raw = [F.col(c).alias(f"_{c}") for c in SEGMENT_FEATURES]
+    rest = visits.drop(*SEGMENT_FEATURES).columns
+    points = lloyd.whole(
+        segment_features(visits.select("*", *raw), *rest, *[f"_{c}" for c in SEGMENT_FEATURES]), SEGMENT_FEATURES)
+    best = lloyd.fit(points.select("patient_id", *SEGMENT_FEATURES), SEGMENT_FEATURES, n_clusters, starts, seed, SHIFT)
+    assigned = lloyd.assign(points, SEGMENT_FEATURES, best.centres)
+    clustered = assigned.withColumns({c: F.col(f"_{c}") for c in SEGMENT_FEATURES}).select(*visits.columns, "cluster")
+    return FixedSegments(best, clustered, cluster_profiles(clustered))
+
+
 def save_model(trained: Trained, path: str) -> None:
-    """Encoder and forest as one loadable pipeline."""
-    PipelineModel([trained.encoder, trained.model]).write().overwrite().save(path)
+    """Encoder and forest as loadable pipelines, ``path/<grove>``, one for each grove: only one is held at a time."""
+    for i, grove in enumerate(trained.model.models()):
+        PipelineModel([trained.encoder, grove]).write().overwrite().save(f"{path}/{i}")
