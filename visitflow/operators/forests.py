@@ -3,7 +3,7 @@
 A forest of deep trees is too large to be grown at once: the driver holds every node of the trees in training, and MLlib
 sends them to the tasks at each level. Here a forest is a number of *groves*, forests of ``GROVE`` trees with a seed of
 their own. A grove is grown on node ids kept with the rows (``cacheNodeIds``), so that a level sends only the new splits;
-then it is saved, leaves its votes for the rows to be predicted in a table, and is dropped. The driver holds as many
+then it is saved, leaves its votes for the rows to be predicted in a table, and is dropped (a fold's is not even saved). The driver holds as many
 groves as grow at a time (``parallelism``), whatever the number of trees, forests and rows. Votes are added by row.
 
 A forest learns from a bounded number of rows (the caller's parameter), which lie in one partition in the order of their
@@ -26,17 +26,21 @@ from pyspark.sql import functions as F
 
 from visitflow.sources.scratch import new_folder
 
-GROVE = 20  # trees that are grown together
+GROVE = 25  # trees that are grown together
 ROW = "row"  # the column that tells the rows of a table apart
 
 
 @dataclass
 class Task:
-    """A forest to grow: rows to learn from, and those whose votes are wanted (with the column ``ROW``)."""
+    """A forest to grow: rows to learn from, and those whose votes are wanted (with the column ``ROW``).
+
+    Without ``keep``, only the votes are left of it.
+    """
 
     learn: DataFrame
     predict: DataFrame
     name: int = 0
+    keep: bool = True
 
 
 @dataclass
@@ -89,12 +93,13 @@ def grown(
     learn = [fitted_rows(t.learn).persist() for t in tasks]
     votes = f"{folder}/votes"
 
-    def grow(job: tuple[int, int]) -> tuple[str, int, np.ndarray]:
+    def grow(job: tuple[int, int]) -> tuple[str | None, int, np.ndarray]:
         i, g = job
         model = estimator.copy({estimator.numTrees: sizes[g], estimator.seed: seed + g}).fit(learn[i])
         kind = "classifier" if isinstance(model, RandomForestClassificationModel) else "regressor"
-        path = f"{forests[i].folder}/grove-{g}-{kind}"
-        model.write().overwrite().save(path)
+        path = f"{forests[i].folder}/grove-{g}-{kind}" if tasks[i].keep else None
+        if path:
+            model.write().overwrite().save(path)
         said = model.transform(tasks[i].predict).select(ROW, _votes(model, sizes[g]).alias("votes"))
         said.write.mode("overwrite").parquet(f"{votes}/forest={tasks[i].name}/grove={g}")
         if done:
@@ -110,7 +115,8 @@ def grown(
             rows.unpersist()
     for (i, g), (path, nodes, importance) in zip(jobs, results, strict=True):
         own = forests[i]
-        own.groves.append(path)
+        if path:
+            own.groves.append(path)
         own.trees.append(sizes[g])
         own.nodes += nodes
         own.importances = importance if own.importances is None else own.importances + importance

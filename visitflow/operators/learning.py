@@ -44,7 +44,7 @@ SHIFT = 1e-4
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 DEPTH = 30  # the most that MLlib grows: in practice unbounded
-LABELLED = 10_000  # visits, those of lowest hash, that a forest learns from: as many as the surveyed data set has
+LABELLED = 5_000  # visits, those of lowest hash, that a forest learns from; time and driver memory grow with it
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ def train_admission(
         raise ValueError("the admission model needs both admitted and not admitted visits")
     columns = (ROW, "features")
     tasks = [Task(_learned(data, "NOT is_test"), data.where("is_test").select(*columns), folds)]
-    tasks += [Task(_learned(data, f"fold <> {f}"), data.where(F.col("fold") == f).select(*columns), f)
+    tasks += [Task(_learned(data, f"fold <> {f}"), data.where(F.col("fold") == f).select(*columns), f, False)
               for f in range(folds)]
     estimator = RandomForestClassifier(**_forest_options(encoder, depth))
     forests, votes = grown(estimator, tasks, trees, seed, grove, parallelism)
