@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitflow.functions.student import two_sided_p
-from visitflow.operators import charts, membership, quantiles, sampling, stats
+from visitflow.operators import charts, learning, membership, quantiles, sampling, stats
 from visitflow.sources import schema as S
 from visitflow.sources.star import visits
 
@@ -100,7 +100,65 @@ def test_moments_and_sketch(spark):
     df = frame(spark, [(x,) for x in (1, 1, 2, 5)], "x int")
     row = quantiles.weighted_moments(quantiles.value_counts(df, "x"), "x").first()
     assert (row["count"], row["mean"]) == (4, 2.25) and row["std"] == pytest.approx(statistics.stdev([1, 1, 2, 5]))
-    assert quantiles.approximate_quantiles(df, "x", [0.0, 1.0]).first()["q"] == [1.0, 5.0]
+    assert quantiles.sketched(df, "x", [0.0, 1.0], 0.01).first()["q"] == [1.0, 5.0]
+    assert quantiles.sketched(df.where("x > 9"), "x", [0.5], 0.01).collect()[0]["q"] is None
+
+
+N = 1_000_000
+
+
+@pytest.fixture(scope="module")
+def continuous(spark):
+    """A million different waits, in an order of their own, over several partitions; every tenth row has none."""
+    wait = F.pmod(F.col("id") * 7919, F.lit(N)) / 100.0
+    df = spark.range(0, N, 1, 12).select(
+        F.when(F.col("id") % 10 != 0, wait).alias("wait_time"),
+        F.when(F.col("id") % 3 == 0, "Monday").otherwise("Tuesday").alias("day_of_week"),
+    ).persist()
+    yield df
+    df.unpersist()
+
+
+def _rank(df, value):
+    return df.where(F.col("wait_time") <= value).count() / df.where("wait_time IS NOT NULL").count()
+
+
+@pytest.mark.parametrize("accuracy", [0.01, 0.001])
+def test_sketched_quartiles_keep_their_rank_error(continuous, accuracy):
+    row = stats.wait_summary(continuous, accuracy).first()
+    for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+        assert abs(_rank(continuous, row[name]) - p) <= accuracy
+    exact = continuous.agg(F.avg("wait_time"), F.stddev_samp("wait_time"), F.min("wait_time"), F.max("wait_time")).first()
+    assert (row["mean"], row["std"], row["min"], row["max"]) == tuple(exact)
+    bounds = stats.wait_bounds(continuous, accuracy).first()
+    assert abs(_rank(continuous, bounds["q1"]) - 0.25) <= accuracy
+    assert bounds["upper_bound"] == bounds["q3"] + 1.5 * (bounds["q3"] - bounds["q1"])
+    assert stats.anomaly_summary(continuous, accuracy).first()["n_anomalies"] == stats.anomalies(continuous, accuracy).count()
+
+
+def test_sketched_boxes_and_medians(continuous):
+    accuracy = 0.005
+    boxes = {r["day_of_week"]: r for r in charts.box(
+        continuous, "wait_time", "day_of_week", ["Monday", "Tuesday"], accuracy).collect()}
+    assert list(boxes) == ["Monday", "Tuesday"]
+    for day, row in boxes.items():
+        own = continuous.where(F.col("day_of_week") == day)
+        assert abs(_rank(own, row["median"]) - 0.5) <= accuracy and row["outliers"] == 0
+        assert row["high_whisker"] == own.agg(F.max("wait_time")).first()[0]
+    middle = learning.fit_medians(continuous, ["wait_time"], accuracy)["wait_time"]
+    assert abs(_rank(continuous, middle) - 0.5) <= accuracy
+    filled = learning.impute(continuous, ["wait_time"], accuracy).groupBy("wait_time").count().orderBy(F.desc("count"))
+    most = filled.first()
+    assert most["count"] > N / 10 and abs(_rank(continuous, most["wait_time"]) - 0.5) <= accuracy
+
+
+def test_a_sketch_has_the_size_of_its_error_not_of_its_rows(continuous):
+    sizes = [
+        df.agg(F.length(F.kll_sketch_agg_double("wait_time", quantiles.sketch_size(0.01)))).first()[0]
+        for df in (continuous.where("wait_time < 1000"), continuous)
+    ]
+    assert sizes[1] < 2 * sizes[0] < 40_000
+    assert quantiles.sketch_size(0.001) > quantiles.sketch_size(0.01) > quantiles.sketch_size(0.1) >= 8
 
 
 def test_anomalies(spark):

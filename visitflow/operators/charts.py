@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from visitflow.functions.numeric import share
 from visitflow.functions.scalars import in_order
 from visitflow.operators import stats
-from visitflow.operators.quantiles import quantiles, value_counts
+from visitflow.operators.quantiles import quantiles, sketched, value_counts
 from visitflow.operators.sampling import sample_exact
 from visitflow.sources import schema as S
 
@@ -126,10 +126,17 @@ def score_histogram(visits: DataFrame) -> DataFrame:
     )
 
 
-def _fenced(visits: DataFrame, value: str, group: str, labels: Sequence[str]) -> DataFrame:
-    """Value counts per label with the label's quartiles and fences."""
-    counts = value_counts(visits.where(F.col(group).isin(*labels)), value, [group])
-    per_label = quantiles(counts, value, [0.25, 0.5, 0.75], [group])
+def _fenced(
+    visits: DataFrame, value: str, group: str, labels: Sequence[str], accuracy: float | None = None
+) -> DataFrame:
+    """Value counts per label with the label's quartiles and fences; with an ``accuracy``, rows instead of counts."""
+    known, probs = visits.where(F.col(group).isin(*labels)), [0.25, 0.5, 0.75]
+    if accuracy:
+        counts = known.where(F.col(value).isNotNull()).select(group, value, F.lit(1).cast("bigint").alias("n"))
+        per_label = sketched(known, value, probs, accuracy, [group])
+    else:
+        counts = value_counts(known, value, [group])
+        per_label = quantiles(counts, value, probs, [group])
     # One entry per label.
     by_label = per_label.agg(F.map_from_entries(F.collect_list(F.struct(group, "q"))).alias("q")).scalar()
     q = F.col("_q")
@@ -140,12 +147,17 @@ def _fenced(visits: DataFrame, value: str, group: str, labels: Sequence[str]) ->
     )
 
 
-def box(visits: DataFrame, value: str, group: str, labels: Sequence[str]) -> DataFrame:
-    """Box summary per label: quartiles, whiskers (extreme values inside the fences) and number of outliers."""
+def box(
+    visits: DataFrame, value: str, group: str, labels: Sequence[str], accuracy: float | None = None
+) -> DataFrame:
+    """Box summary per label: quartiles, whiskers (extreme values inside the fences) and number of outliers.
+
+    ``accuracy``: the largest error of the quartiles in rank, for columns of very many values; without it they are exact.
+    """
     v, n = F.col(value), F.col("n")
     inside = (v >= F.col("low_fence")) & (v <= F.col("high_fence"))
     return (
-        _fenced(visits, value, group, labels)
+        _fenced(visits, value, group, labels, accuracy)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.sum(n).alias(_COUNT),

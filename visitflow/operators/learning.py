@@ -49,14 +49,17 @@ LABELLED = 5_000  # visits, those of lowest hash, that a forest learns from; tim
 
 # --- inputs -------------------------------------------------------------------------------------------------------
 
-def fit_medians(visits: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians, found in one pass and fetched as one small row, like the fit of any MLlib estimator."""
-    return dict(visits.sparkSession.range(1).select(medians(visits, columns).alias("m")).first()["m"])
+def fit_medians(visits: DataFrame, columns: Sequence[str], accuracy: float | None = None) -> dict[str, float]:
+    """Medians, found in one pass and fetched as one small row, like the fit of any MLlib estimator.
+
+    Exact, or with an error in rank of at most ``accuracy``, for columns of very many values.
+    """
+    return dict(visits.sparkSession.range(1).select(medians(visits, columns, accuracy).alias("m")).first()["m"])
 
 
-def impute(visits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns as doubles, missing values replaced by the exact median of the column."""
-    middle = fit_medians(visits, columns)
+def impute(visits: DataFrame, columns: Sequence[str], accuracy: float | None = None) -> DataFrame:
+    """Columns as doubles, missing values replaced by the median of the column (see :func:`fit_medians`)."""
+    middle = fit_medians(visits, columns, accuracy)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c)).cast("double")) for c in columns}
     return visits.withColumns(filled)
 
@@ -147,11 +150,10 @@ def fit_scale(visits: DataFrame, columns: Sequence[str]) -> dict[str, tuple[floa
     filled = counts.join(F.broadcast(middle), "feature").select(  # one row for each column
         "feature", "m", "n", F.coalesce("value", "m").alias("v"))
     n, v = F.col("n"), F.col("v")
-    centred = filled.groupBy("feature", "m").agg(
-        (F.sum(n * v) / F.sum(n)).alias("mean"), F.collect_list(F.struct("n", "v")).alias("all"))
-    square = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["n"] * (x["v"] - F.col("mean")) ** 2)
-    weight = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["n"])
-    rows = centred.select("feature", "m", "mean", F.sqrt(square / weight).alias("std")).collect()
+    middle = filled.groupBy("feature").agg((F.sum(n * v) / F.sum(n)).alias("mean"))
+    centred = filled.join(F.broadcast(middle), "feature")  # one row for each column, again
+    square = F.sum(n * (v - F.col("mean")) ** 2) / F.sum(n)
+    rows = centred.groupBy("feature", "m", "mean").agg(F.sqrt(square).alias("std")).collect()
     found = {r["feature"]: (r["m"], r["mean"], r["std"]) for r in rows}
     return {c: found.get(c, (None, None, None)) for c in columns}
 

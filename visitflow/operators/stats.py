@@ -9,7 +9,7 @@ from visitflow.functions.numeric import half_even, percent
 from visitflow.functions.student import p_value, significance
 from visitflow.operators import filters
 from visitflow.operators.membership import mark_members, members_only
-from visitflow.operators.quantiles import value_counts
+from visitflow.operators.quantiles import sketched, value_counts
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 FENCE = 1.5  # interquartile ranges beyond the quartiles
@@ -36,9 +36,25 @@ def _spread(counts: DataFrame, column: str) -> DataFrame:
     )
 
 
-def wait_summary(visits: DataFrame) -> DataFrame:
-    """Mean, median, sample deviation, range and quartiles of the wait."""
-    row = _spread(value_counts(visits, "wait_time"), "wait_time")
+def _summary(visits: DataFrame, column: str, accuracy: float | None) -> DataFrame:
+    """:func:`_spread` of a column: exact, or with quartiles from a sketch and the rest from one more aggregate."""
+    if not accuracy:
+        return _spread(value_counts(visits, column), column)
+    quartiles = sketched(visits, column, [0.25, 0.5, 0.75], accuracy).select("q").scalar()
+    value = F.col(column).cast("double")
+    return visits.agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(column).alias("low"), F.max(column).alias("high"),
+    ).withColumn("q", quartiles)
+
+
+def wait_summary(visits: DataFrame, accuracy: float | None = None) -> DataFrame:
+    """Mean, median, sample deviation, range and quartiles of the wait.
+
+    ``accuracy``: the largest error of the quartiles in rank, for waits of so many different values (fractions of minutes)
+    that counting each is no gain; without it they are exact and interpolated.
+    """
+    row = _summary(visits, "wait_time", accuracy)
     q = F.col("q")
     return row.select(
         "mean", q[1].alias("median"), "std", F.col("low").alias("min"), F.col("high").alias("max"),
@@ -46,9 +62,12 @@ def wait_summary(visits: DataFrame) -> DataFrame:
     )
 
 
-def describe(visits: DataFrame, column: str = "age") -> DataFrame:
-    """Count, mean, deviation, range and quartiles of a column, two digits: rows of ``(statistic, value)``."""
-    row = _spread(value_counts(visits, column), column)
+def describe(visits: DataFrame, column: str = "age", accuracy: float | None = None) -> DataFrame:
+    """Count, mean, deviation, range and quartiles of a column, two digits: rows of ``(statistic, value)``.
+
+    ``accuracy``: as in :func:`wait_summary`.
+    """
+    row = _summary(visits, column, accuracy)
     q = F.col("q")
     parts = {
         "count": F.col("n"), "mean": F.col("mean"), "std": F.col("std"), "min": F.col("low"), "25%": q[0],
@@ -136,10 +155,9 @@ def trend_line(visits: DataFrame, points: int = 100) -> DataFrame:
     )
 
 
-def _bounds(counts: DataFrame, column: str) -> DataFrame:
-    probs = F.array(F.lit(0.25), F.lit(0.75))
+def _fences(quartiles: DataFrame) -> DataFrame:
     q1, q3 = F.col("q")[0], F.col("q")[1]
-    return counts.agg(F.percentile(column, probs, F.col("n")).alias("q")).select(
+    return quartiles.select(
         q1.alias("q1"),
         q3.alias("q3"),
         (q1 - FENCE * (q3 - q1)).alias("lower_bound"),
@@ -147,8 +165,18 @@ def _bounds(counts: DataFrame, column: str) -> DataFrame:
     )
 
 
-def wait_bounds(visits: DataFrame) -> DataFrame:
-    """Quartiles of the wait and the bounds beyond which a wait is an anomaly: one row."""
+def _bounds(counts: DataFrame, column: str) -> DataFrame:
+    probs = F.array(F.lit(0.25), F.lit(0.75))
+    return _fences(counts.agg(F.percentile(column, probs, F.col("n")).alias("q")))
+
+
+def wait_bounds(visits: DataFrame, accuracy: float | None = None) -> DataFrame:
+    """Quartiles of the wait and the bounds beyond which a wait is an anomaly: one row.
+
+    ``accuracy``: as in :func:`wait_summary`.
+    """
+    if accuracy:
+        return _fences(sketched(visits, "wait_time", [0.25, 0.75], accuracy))
     return _bounds(value_counts(visits, "wait_time"), "wait_time")
 
 
@@ -157,19 +185,23 @@ def _bound_pair(bounds: DataFrame) -> tuple[Column, Column]:
     return pair.getField("lower_bound"), pair.getField("upper_bound")
 
 
-def anomalies(visits: DataFrame) -> DataFrame:
+def anomalies(visits: DataFrame, accuracy: float | None = None) -> DataFrame:
     """Visits whose wait lies outside the bounds, with ``anomaly_type``."""
-    lower, upper = _bound_pair(wait_bounds(visits))
+    lower, upper = _bound_pair(wait_bounds(visits, accuracy))
     wait = F.col("wait_time")
     return visits.where((wait < lower) | (wait > upper)).withColumn(
         "anomaly_type", F.when(wait > upper, "High Wait").otherwise("Unusually Low Wait")
     )
 
 
-def anomaly_summary(visits: DataFrame) -> DataFrame:
-    """Bounds, number and percentage of anomalies; needs only the distribution of waits, one scan."""
-    counts = value_counts(visits, "wait_time", keep_null=True)
-    lower, upper = _bound_pair(_bounds(counts, "wait_time"))
+def anomaly_summary(visits: DataFrame, accuracy: float | None = None) -> DataFrame:
+    """Bounds, number and percentage of anomalies; needs only the distribution of waits, one scan (with ``accuracy``, two)."""
+    if accuracy:
+        counts, bounds = visits.select("wait_time", F.lit(1).cast("bigint").alias("n")), wait_bounds(visits, accuracy)
+    else:
+        counts = value_counts(visits, "wait_time", keep_null=True)
+        bounds = _bounds(counts, "wait_time")
+    lower, upper = _bound_pair(bounds)
     outside = (F.col("wait_time") < lower) | (F.col("wait_time") > upper)
     return counts.agg(
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0).cast("bigint")).alias("n_anomalies"),
