@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from datetime import date
 from importlib import import_module
 from pathlib import Path
 
@@ -18,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from oracle_queries import CENTROIDS, ORACLE  # noqa: E402
 
-from visitflow.operators import catalog, charts, filters, kpis, learning, quality, sampling, stats  # noqa: E402
+from visitflow.operators import catalog, charts, daily, filters, kpis, learning, quality, sampling, stats  # noqa: E402
 from visitflow.operators.derive import derive, parse, relabel_time_of_day  # noqa: E402
 from visitflow.plans.adhoc import preset, report_queries, run_sql  # noqa: E402
 from visitflow.sources.schema import BROWSE_COLUMNS  # noqa: E402
@@ -202,6 +203,10 @@ _Q: dict[str, Query] = {
         kpis.kpi_row, "is_admitted", "wait_time", "satisfaction_score", "department_referral", "admission_date",
         "gender",
     ),
+    "kpis_of_a_month": _on(
+        lambda v: daily.kpis_of_days(daily.daily_measures(v), date(1997, 3, 1), date(1997, 3, 31)).drop("unique_patients"),
+        "patient_id", "is_admitted", "wait_time", "satisfaction_score", "department_referral", "admission_date", "gender",
+    ),
     "overall_admission_rate": _on(kpis.overall_admission_rate, "is_admitted"),
     "admission_rates": _on(kpis.admission_rates, *kpis.ADMISSION_DIMENSIONS, "is_admitted"),
     "mean_waits": _on(kpis.mean_waits, *kpis.WAIT_DIMENSIONS, "wait_time"),

@@ -434,6 +434,16 @@ _BODIES: dict[str, str] = {
                "count(satisfaction_score) / count(*) * 100 AS pct_with_score, "
                "count(*) FILTER (gender = 'Male') / count(*) * 100 AS pct_male, "
                "count(*) FILTER (gender = 'Female') / count(*) * 100 AS pct_female FROM visits",
+    "kpis_of_a_month": "SELECT count(*) AS total_patients, "
+                       "count(*) FILTER (is_admitted) * 100.0::DOUBLE / count(is_admitted) AS admission_rate, "
+                       "avg(wait_time) AS avg_wait_time, avg(satisfaction_score) AS avg_satisfaction, "
+                       "count(DISTINCT department_referral) AS unique_departments, "
+                       "strftime(min(admission_date), '%b %d, %Y') AS date_range_start, "
+                       "strftime(max(admission_date), '%b %d, %Y') AS date_range_end, "
+                       "count(satisfaction_score) * 100.0::DOUBLE / count(*) AS pct_with_score, "
+                       "count(*) FILTER (gender = 'Male') * 100.0::DOUBLE / count(*) AS pct_male, "
+                       "count(*) FILTER (gender = 'Female') * 100.0::DOUBLE / count(*) AS pct_female FROM visits "
+                       "WHERE admission_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'",
     "overall_admission_rate": "SELECT avg(CAST(is_admitted AS INT)) * 100 AS overall_rate FROM visits",
     "admission_rates": _long(
         ("gender", "race", "age_group", "department_referral"),

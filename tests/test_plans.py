@@ -13,7 +13,7 @@ QUERIES = entry_module.queries()
 # The optional text operators have tests of their own.
 QUERIES = {name: query for name, query in QUERIES.items() if not re.match(r"op\d+_|pipeline$", name)}
 MODELS = {n for n in QUERIES if n.startswith(("admission_model", "admission_imp", "score_model", "score_imp"))} | {
-    "patient_segments", "segment_scatter",
+    "patient_segments", "segment_scatter", "patient_segments_drawn", "segment_scatter_drawn",
 }
 
 
@@ -65,6 +65,39 @@ def test_years_reach_the_scan_of_the_orders(spark, sf_dir):
     assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in pushed and "LessThan(o_orderdate,2000-01-01" in pushed
 
 
+def test_work_by_id_on_a_bucketed_table_needs_no_exchange(spark, sf_dir):
+    from visitflow.operators import quality
+    from visitflow.sources.files import save_bucketed
+
+    save_bucketed(visits(spark, sf_dir), "visits_by_id", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.table("visits_by_id")
+        found = stats.visits_of_anomalous_ids(table)
+        main = plan(found).split("Subquery")[0]  # the bounds are a scalar of their own
+        assert "SortMergeJoin" in main and "Exchange" not in main and "Bucketed: true" in main
+        assert "Exchange" not in plan(quality.duplicate_ids(table))
+        want = stats.visits_of_anomalous_ids(visits(spark, sf_dir, "patient_id", "wait_time"))
+        assert sorted(r["patient_id"] for r in found.collect()) == sorted(r["patient_id"] for r in want.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE visits_by_id")
+
+
+def test_months_outside_a_range_are_not_opened(spark, sf_dir):
+    import tempfile
+    from datetime import date
+
+    from visitflow.operators import daily
+
+    target = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/days"
+    daily.write_daily(visits(spark, sf_dir), target)
+    text = plan(daily.kpis_of_days(daily.read_daily(spark, target), date(1997, 3, 1), date(1997, 3, 31)))
+    assert re.search(r"PartitionFilters: \[[^]]*year#\d+ \* 12", text)
+    assert "patient_id" not in text and "GreaterThanOrEqual(admission_date,1997-03-01)" in text
+
+
 def test_groups_are_combined_before_the_shuffle(stored):
     for df in (catalog.department_performance(stored), kpis.admission_rates(stored), stats.wait_summary(stored)):
         text = plan(df)

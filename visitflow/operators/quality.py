@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from visitflow.sources import schema as S
@@ -75,8 +75,24 @@ def summary(visits: DataFrame, checks: Sequence[Rule] | None = None) -> DataFram
     checks = rules() if checks is None else checks
     counted = visits.agg(*[F.count_if(r.broken).alias(r.name) for r in checks])
     per_rule = counted.unpivot([], [r.name for r in checks], "rule", "violations")
+    return per_rule.unionByName(_repeated(visits))
+
+
+def _repeated(visits: DataFrame) -> DataFrame:
     repeated = duplicate_ids(visits).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations"))
-    return per_rule.unionByName(repeated.select(F.lit("patient_id_unique").alias("rule"), "violations"))
+    return repeated.select(F.lit("patient_id_unique").alias("rule"), "violations")
+
+
+def observed(visits: DataFrame, seen: Observation, checks: Sequence[Rule] | None = None) -> DataFrame:
+    """The same rows; ``seen`` counts the violations of each rule while they pass, in whatever job reads them."""
+    checks = rules() if checks is None else checks
+    return visits.observe(seen, *[F.count_if(r.broken).alias(r.name) for r in checks])
+
+
+def summary_of(counts: Mapping[str, int], visits: DataFrame) -> DataFrame:
+    """:func:`summary` from observed counts; of the visits, only ids are read."""
+    frame = visits.sparkSession.createDataFrame(list(counts.items()), "rule string, violations bigint")
+    return frame.unionByName(_repeated(visits))
 
 
 def check(visits: DataFrame, checks: Sequence[Rule] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from visitflow.operators import quality
@@ -23,8 +23,9 @@ def ingest(spark: SparkSession, source: str, target: str, referral_null_mode: st
     checks = [*quality.rules(), quality.malformed_rule()]
     visits = derive(parse(read_raw_csv(spark, source), referral_null_mode), referral_null_mode)
     marked = quality.with_violations(visits, checks).withColumn(QUARANTINED, F.size(quality.VIOLATIONS) > 0)
-    write_parquet(marked, target, QUARANTINED)
-    return quality.summary(spark.read.parquet(target), checks)
+    seen = Observation("rules")  # row rules are counted while the rows are written; only ids are read again
+    write_parquet(quality.observed(marked, seen, checks), target, QUARANTINED)
+    return quality.summary_of(seen.get, spark.read.parquet(target))
 
 
 def read_valid(spark: SparkSession, target: str) -> DataFrame:

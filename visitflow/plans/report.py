@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from visitflow.operators import kpis, stats
 from visitflow.plans.adhoc import report_queries
@@ -28,10 +30,47 @@ def statistical_report(visits: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_sections(sections: Mapping[str, DataFrame], target: str, form: str = "parquet") -> None:
-    """One folder per section; adaptive execution merges the partitions of a small section into one ordered file."""
+def write_sections(sections: Mapping[str, DataFrame], target: str, form: str = "parquet") -> dict[str, int]:
+    """One folder per section; adaptive execution merges the partitions of a small section into one ordered file.
+
+    Returns the rows of each section, counted while it is written. A manifest is written last; until then the target's
+    says that the report is being written, so a report that broke off is recognised (:func:`read_manifest`).
+    """
+    rows: dict[str, int] = {}
+    if not sections:
+        return rows
+    spark = next(iter(sections.values())).sparkSession
+    _write_manifest(spark, target, form, sections, rows, complete=False)
     for name, frame in sections.items():
-        frame.write.mode("overwrite").format(form).option("header", True).save(f"{target}/{name}")
+        seen = Observation(name)
+        counted = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").format(form).option("header", True).save(f"{target}/{name}")
+        rows[name] = seen.get["rows"]
+    _write_manifest(spark, target, form, sections, rows, complete=True)
+    return rows
+
+
+MANIFEST = "manifest"
+
+
+def _write_manifest(
+    spark: SparkSession, target: str, form: str, sections: Mapping[str, DataFrame], rows: Mapping[str, int], complete: bool
+) -> None:
+    entries = [(name, form, frame.columns, rows.get(name), complete) for name, frame in sections.items()]
+    schema = "section string, format string, columns array<string>, rows bigint, complete boolean"
+    spark.createDataFrame(entries, schema).coalesce(1).write.mode("overwrite").json(f"{target}/{MANIFEST}")
+
+
+def read_manifest(spark: SparkSession, target: str) -> dict[str, int] | None:
+    """Sections and their rows; None for a report that is being written or broke off."""
+    schema = "section string, format string, columns array<string>, rows bigint, complete boolean"
+    try:
+        entries = spark.read.schema(schema).json(f"{target}/{MANIFEST}").collect()
+    except AnalysisException:
+        return None
+    if not entries or not all(e["complete"] for e in entries):
+        return None
+    return {e["section"]: e["rows"] for e in entries}
 
 
 def main() -> None:
