@@ -75,3 +75,35 @@ def test_odd_rows_and_empty_tables(spark):
     assert D.matched(strange, _benchmark(spark)).count() == strange.count()
     assert D.matched(strange, _benchmark(spark).limit(0)).where("n_hit > 0").count() == 0
     assert D.matched(strange.limit(0), _benchmark(spark)).count() == 0
+
+
+def test_repeated_rows_of_an_item_count_once(spark):
+    """Equal rows, rows of one id with other texts, and other items of equal text."""
+    text = ITEMS[0]
+    items = spark.createDataFrame(
+        [(7, text), (7, text), (7, text.upper()), (7, "Short Item here"), (8, text), (None, text)],
+        "item_id bigint, text string")
+    docs = rows.documents(spark, [(1, text + " " + ITEMS[1]), (2, "short item here")])
+    for most in (10_000, 4):
+        got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in D.matched(docs, items, most=most).select(
+            "row.doc_id", "n_hit", "item_ids").collect()}
+        assert got == {1: (17, ["", "7", "8"]), 2: (3, ["7"])}
+
+
+def test_blocks_stay_bounded(spark):
+    """Many equal rows and one very long item: no block is far above its size, and nothing is lost."""
+    long = [f"l{i}" for i in range(2000)]
+    items = spark.createDataFrame(
+        [(1, " ".join(long))] + [(i % 3 + 2, "the same words of every row " * 5) for i in range(300)],
+        "item_id bigint, text string")
+    most, window = 100, 10
+    blocks = D.item_blocks(items, most, window).selectExpr("block", "size(split(text, ' ')) AS n").groupBy("block").sum("n")
+    assert max(r[1] for r in blocks.collect()) <= 6 * most and blocks.count() > 10
+    docs = rows.documents(spark, [(1, "x " + " ".join(long[85:130]) + " y"), (2, " ".join(long[995:1004])),
+                                  (3, " ".join(long))])
+    whole, cut = (
+        sorted((r["doc_id"], r["n_hit"], r["item_ids"]) for r in D.matched(docs, items, window, n).select(
+            "row.doc_id", "n_hit", "item_ids").collect())
+        for n in (10_000, most)
+    )
+    assert whole == cut == [(1, 45, ["1"]), (2, 0, []), (3, 2000, ["1"])]

@@ -4,12 +4,13 @@ All items of a block become one automaton: its states stand for sets of position
 word keeps the longest run of words, ending here, that occurs in some item. A *window* is ``WINDOW`` consecutive words of
 an item, or a whole shorter item; wherever the matching length reaches a window, its words in the text are hit.
 
-Blocks hold at most ``BLOCK_WORDS`` words of items, so each broadcast automaton has a bounded size however large the
+Blocks hold about ``BLOCK_WORDS`` words of distinct items (longer ones are cut into overlapping stretches), so each broadcast automaton has a bounded size however large the
 benchmark is; every text is read against every block. Words are the maximal runs of ASCII letters, digits and all
 characters from 0x80, ASCII letters in lower case.
 
-Null and empty texts have no words; items without words have no window; items with equal text each count. Rows are
-judged one by one, so repeated rows get equal results. An empty benchmark hits nothing.
+Null and empty texts have no words; items without words have no window; items with equal text each count, repeated rows
+of one item once, and the rows of one id are one item. Documents are judged one by one, so repeated rows get equal
+results. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -185,24 +186,28 @@ def matches(numbers: np.ndarray, automaton: Automaton) -> tuple[list[tuple[int,
     return spans, items
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """Items with words, numbered, and dealt to blocks of about ``most`` words: ``block``, ``item``, ``item_id``, ``text``.
+def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, window: int = WINDOW) -> DataFrame:
+    """Distinct items with words, dealt to blocks of about ``most`` words by their hash: ``block``, ``item_id``, ``text``.
 
-    An item goes to a block by its hash; only an item longer than ``most`` makes a longer block.
+    Repeated rows are one item. An item longer than ``most`` is cut into stretches that share ``window - 1`` words with the
+    next, so that they hold the item's windows and no others, and each goes to a block of its own.
     """
     plain = F.trim(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    words = benchmark.where(F.col("text").isNotNull()).select(
-        F.col("item_id"), "text", F.when(plain != "", F.size(F.split(plain, " "))).cast("bigint").alias("words")
-    ).where(F.col("words") > 0)
-    total = int(words.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"])
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", plain.alias("plain")).where(
+        F.col("plain") != "").distinct().select("item_id", F.split("plain", " ").alias("words"))
+    long, n = max(most, window), F.size("words")
+    starts = F.sequence(F.lit(0), n - window, F.lit(long - window + 1))
+    cut = F.transform(starts, lambda start: F.slice("words", start + 1, F.lit(long)))
+    stretches = items.select("item_id", F.explode(F.when(n > long, cut).otherwise(F.array("words"))).alias("words"))
+    total = int(stretches.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"])
     blocks = 1 if total <= most else -(-total * 5 // (4 * most))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")
-    return words.select(block.alias("block"), "item_id", "text")
+    block = F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int")
+    return stretches.select(block.alias("block"), "item_id", F.array_join("words", " ").alias("text"))
 
 
-def _dealt(benchmark: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
+def _dealt(benchmark: DataFrame, most: int, window: int) -> tuple[DataFrame, list[int]]:
     """The items and the numbers of their blocks; an empty benchmark has one empty block."""
-    items = item_blocks(benchmark, most)
+    items = item_blocks(benchmark, most, window)
     blocks = sorted(r["block"] for r in items.select("block").distinct().collect()) or [0]
     return written(items, "items") if len(blocks) > 1 else items, blocks
 
@@ -218,8 +223,11 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: i
 
     One block of items is on the driver and in the workers at a time; with several, the rows are written between them.
     """
+    return _matched(docs, *_dealt(benchmark, most, window), window)
+
+
+def _matched(docs: DataFrame, items: DataFrame, blocks: list[int], window: int) -> DataFrame:
     spark = docs.sparkSession
-    items, blocks = _dealt(benchmark, most)
     out = docs.select(
         F.struct("*").alias("row"),
         F.lit(None).cast("bigint").alias("n_words"),
@@ -252,7 +260,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: i
     ) if len(blocks) > 1 else F.col("spans")
     out = out.withColumn("spans", merged)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"] + 1)
-    return out.select("row", "n_words", "spans", hit.alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
+    return out.select("row", "n_words", "spans", hit.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
 def _shipped(spark, automaton: Automaton):
@@ -332,32 +340,41 @@ def decontaminated(
     """All columns; hit spans are cut out, and a document goes when at least ``coverage`` of its words are hit.
 
     Cutting can bring the two ends of another window together, so a text is read again until nothing is hit. With
-    several blocks the rows are written between them, and rounds go on until no block cuts anything.
+    several blocks, the spans of all blocks are cut together and the rows are written before they are read again.
     """
     spark, columns = docs.sparkSession, docs.columns
-    items, blocks = _dealt(benchmark, most)
+    items, blocks = _dealt(benchmark, most, window)
     out = docs.select(
-        F.struct("*").alias("row"), F.col("text").alias("clean"), F.lit(None).cast("bigint").alias("n_words"),
+        F.struct("*").alias("given"), "text", F.lit(None).cast("bigint").alias("n_words"),
         F.lit(0).cast("bigint").alias("n_cut"),
     )
-    again = True
+    if len(blocks) == 1:
+        _, automaton = _automaton(items, blocks[0], window)
+        out = out.withColumn("now", _cutter(spark, automaton)(F.col("text"))).select(
+            "given", F.coalesce("now.clean", "text").alias("text"), "now.n_words", "now.n_cut")
+    again, without = len(blocks) > 1, F.pandas_udf(_without, "string")
     while again:
-        for block in blocks:
-            _, automaton = _automaton(items, block, window)
-            out = out.withColumn("now", _cutter(spark, automaton)(F.col("clean"))).select(
-                "row", F.coalesce("now.clean", "clean").alias("clean"),
-                F.coalesce("n_words", "now.n_words").alias("n_words"),
-                (F.col("n_cut") + F.col("now.n_cut")).alias("n_cut"),
-                (F.col("now.n_cut") > 0).alias("changed"),
-            )
-            if len(blocks) > 1:
-                out = written(out, "decontaminated")
-        again = len(blocks) > 1 and not out.where("changed").isEmpty()
+        found = _matched(out, items, blocks, window)
+        cut = F.when(F.size("spans") > 0, without("row.text", "spans")).otherwise(F.col("row.text"))
+        out = written(found.select(
+            "row.given", cut.alias("text"), F.coalesce("row.n_words", "n_words").alias("n_words"),
+            (F.col("row.n_cut") + F.col("n_hit")).alias("n_cut"), (F.col("n_hit") > 0).alias("changed"),
+        ), "decontaminated")
+        again = not out.where("changed").isEmpty()
+        out = out.drop("changed")
     kept = out.where((F.col("n_cut") == 0) | (F.col("n_cut") < coverage * F.col("n_words")))
     return kept.select(*[
-        F.col("clean").alias("text") if c == "text" else F.col(f"row.{_quoted(c)}").alias(c) for c in columns
+        F.col("text") if c == "text" else F.col(f"given.{_quoted(c)}").alias(c) for c in columns
     ])
 
 
+def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    cut = [
+        without_words(text, [(x["first"], x["last"]) for x in own]) if text and own is not None and len(own) else text
+        for text, own in zip(texts, spans, strict=True)
+    ]
+    return pd.Series(cut, dtype=object)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
