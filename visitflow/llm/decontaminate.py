@@ -317,7 +317,8 @@ def _cutter(spark, automaton: Automaton):
                 out.append((clean, n, gone))
             yield pd.DataFrame(out, columns=["clean", "n_words", "n_cut"])
 
-    return cut
+    # Told to be unrepeatable, it is not computed once for a filter and once more for the rows that pass.
+    return cut.asNondeterministic()
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -186,7 +186,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"))
     texts = keyed.select("key", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
     ranges = written(copied_lines(texts), "copied-lines")
-    cut = F.pandas_udf(_without, "clean string, n_lines int, gone array<int>, empty boolean")
+    # Told to be unrepeatable, it is not computed once for a filter on its result and once more for the rows that pass.
+    cut = F.pandas_udf(_without, "clean string, n_lines int, gone array<int>, empty boolean").asNondeterministic()
     out = keyed.join(ranges.hint("merge"), "key", "left").select("row", cut("row.text", "ranges").alias("cut"))
     return out.select("row", "cut.*")
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker turns into arrays at once; a single longer text makes a batch of its own.
 BATCH_CHARS = 1_000_000
-
+#: Rows and bytes that are sent to a Python worker at once, where a job asks for small batches.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def travels(module: str) -> None:
@@ -24,6 +25,12 @@ def travels(module: str) -> None:
 travels(__name__)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows of this session reach Python in batches of bounded size, long texts or not."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
