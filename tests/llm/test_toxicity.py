@@ -95,3 +95,15 @@ def test_query_does_not_use_held_out_labels(spark, sf_dir):
     got = registry.QUERIES["op8_toxicity"](spark, sf_dir)
     assert got.count() == table(spark, sf_dir, "documents").count()
     assert got.where("predicted <> cast(score >= 0.7 as int)").count() == 0
+
+
+def test_rows_learned_from_are_bounded_and_differ(spark):
+    """One id with very many rows: equal ones count once, different ones are bounded like those of other ids."""
+    docs = rows.documents(spark, [(1, "the same text")] * 500 + [(1, f"text {i}") for i in range(500)]
+                          + [(i, f"other {i}") for i in range(2, 60)] + [(3, None), (None, "no id")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 1), (2, None), (None, 1)],
+                                   "doc_id bigint, toxic int")
+    found = toxicity.training_rows(docs, labels)
+    assert found.count() == found.select("text").distinct().count() == 1 + 500 + 58
+    assert {r["label"] for r in found.where("text = 'the same text'").collect()} == {1}
+    assert toxicity.training_rows(docs, labels, 100).count() == 100

@@ -9,7 +9,7 @@
   and scale are fitted on clean training texts. A segment is significant when its p-value for a text of that length is
   at most ``SIGNIFICANT``. The standardised scores feed a logistic curve, which gives the probability of the label.
 
-The model is fitted on at most ``LABELLED`` labelled rows (those of lowest hash), a documented bound. Scores for the
+The model is fitted on at most ``LABELLED`` different labelled texts (those of lowest hash), a documented bound. Scores for the
 fits of Gumbel and logistic curve come from a table learned on the other half of these rows.
 
 Null and empty texts have no words and get the score of a text without any passage. Rows are judged one by one: repeated
@@ -124,17 +124,20 @@ def _best(scores: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """``text``, ``label`` and ``half`` of at most ``bound`` labelled rows, those of lowest hash; written once.
+    """``text``, ``label`` and ``half`` of at most ``bound`` different labelled texts, those of lowest hash; written once.
 
-    The broadcast side holds at most ``bound`` rows of two numbers.
+    A row repeated in id and text counts once. The broadcast side holds at most ``bound`` rows of an id, a digest and a
+    label, and so does what the fits bring to the driver.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")
-    )
-    chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(bound)
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
+        F.max(F.col("toxic").cast("int")).alias("label"))
+    texts = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
+    chosen = texts.select("id", "digest").join(known, "id").distinct().orderBy(
+        F.xxhash64("id"), "id", "digest").limit(bound)
     half = F.pmod(F.xxhash64(F.md5("text")), F.lit(2)).cast("int")  # copies of a text share a half
-    return written(texts.join(F.broadcast(chosen), "id").select("text", "label", half.alias("half")), "toxic-labels")
+    return written(texts.join(F.broadcast(chosen), ["id", "digest"]).dropDuplicates(["id", "digest"]).select(
+        "text", "label", half.alias("half")), "toxic-labels")
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -78,7 +78,7 @@ def judged(pages: DataFrame, listing: DataFrame, url: str = "url", default: str
     labels = listed.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("n")).scalar()
     lengths = listed.agg(F.collect_set(F.length("path")).alias("n")).scalar()
     urls = rows.select("host", "path").distinct().withColumns({
-        "words": bloom(listed, blocks), "labels": labels, "lengths": lengths, "parts": F.split("host", r"\."),
+        "labels": labels, "lengths": lengths, "parts": F.split("host", r"\."),
     })
     suffixes = F.transform(
         F.filter("labels", lambda n: n <= F.size("parts")),
@@ -89,9 +89,10 @@ def judged(pages: DataFrame, listing: DataFrame, url: str = "url", default: str
     )
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(
         F.col("beginnings"), lambda p: F.struct(h.alias("entry_host"), p.alias("entry_path")))))
-    possible = urls.withColumn("beginnings", beginnings).select("host", "path", F.explode(F.filter(
-        keys, lambda k: _passes(F.col("words"), blocks, _key(k["entry_host"], k["entry_path"]))
-    )).alias("entry")).select("host", "path", "entry.*")
+    # The filter is a value of the predicate, one for each task; no row carries it.
+    possible = urls.withColumn("beginnings", beginnings).select("host", "path", F.explode(keys).alias("entry")).select(
+        "host", "path", "entry.*").where(
+        _passes(bloom(listed, blocks), blocks, _key(F.col("entry_host"), F.col("entry_path"))))
     exact = listed.select(F.col("host").alias("entry_host"), F.col("path").alias("entry_path"), "verdict")
     best = possible.join(exact, ["entry_host", "entry_path"]).groupBy("host", "path").agg(F.max(F.struct(
         (F.length("entry_host") + F.length("entry_path")).alias("size"), F.length("entry_host").alias("host_size"),
