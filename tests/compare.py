@@ -1,4 +1,4 @@
-"""Compare a Spark result with a DuckDB result: names, types, and rows as a multiset."""
+"""Compare a Spark result with a DuckDB result: names, types, and rows, in their order where one is given."""
 
 from __future__ import annotations
 
@@ -27,21 +27,25 @@ def connect(path: str):
     return con
 
 
-def differences(frame, con, sql: str) -> list[str]:
-    """What differs, empty when the two agree."""
-    relation = con.sql(sql)
+def differences(frame, con, sql: str, order: str | None = None) -> list[str]:
+    """What differs, empty when the two agree. ``order``: rows must come in this order of the SQL result's columns."""
+    relation = con.sql(sql if order is None else f"SELECT * FROM (\n{sql}\n) ORDER BY {order}")
     spark_names, duck_names = sorted(frame.columns), sorted(relation.columns)
     if spark_names != duck_names:
         return [f"columns {spark_names} != {duck_names}"]
     spark_kinds = {name: _KIND.get(kind, kind) for name, kind in frame.dtypes}
     duck_kinds = {n: _KIND.get(str(t), str(t)) for n, t in zip(relation.columns, relation.types, strict=True)}
     out = [f"type of {n}: {spark_kinds[n]} != {duck_kinds[n]}" for n in spark_names if spark_kinds[n] != duck_kinds[n]]
-    left = Counter(tuple(_cell(row[n]) for n in spark_names) for row in frame.collect())
-    order = [relation.columns.index(n) for n in spark_names]
-    right = Counter(tuple(_cell(row[i]) for i in order) for row in relation.fetchall())
+    have = [tuple(_cell(row[n]) for n in spark_names) for row in frame.collect()]
+    at = [relation.columns.index(n) for n in spark_names]
+    want = [tuple(_cell(row[i]) for i in at) for row in relation.fetchall()]
+    left, right = Counter(have), Counter(want)
     if left != right:
         out.append(
             f"rows {sum(left.values())} / {sum(right.values())}; only Spark {list((left - right).items())[:3]}; "
             f"only DuckDB {list((right - left).items())[:3]}"
         )
+    elif order is not None and have != want:
+        first = next(i for i, (a, b) in enumerate(zip(have, want, strict=True)) if a != b)
+        out.append(f"order: row {first} is {have[first]}, by {order} it is {want[first]}")
     return out
