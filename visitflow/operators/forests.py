@@ -3,8 +3,9 @@
 A forest of deep trees is too large to be grown at once: the driver holds every node of the trees in training, and MLlib
 sends them to the tasks at each level. Here a forest is a number of *groves*, forests of ``GROVE`` trees with a seed of
 their own. A grove is grown on node ids kept with the rows (``cacheNodeIds``), so that a level sends only the new splits;
-then it is saved, leaves its votes for the rows to be predicted in a table, and is dropped (a fold's is not even saved). The driver holds as many
-groves as grow at a time (``parallelism``), whatever the number of trees, forests and rows. Votes are added by row.
+then it is saved (a fold's is not), leaves its votes for the rows to be predicted in a table, and is dropped. The driver
+holds as many groves as grow at a time (``parallelism``), whatever the number of trees, forests and rows, and sends one
+grove with a job of predictions. Votes are added by row.
 
 A forest learns from a bounded number of rows (the caller's parameter), which lie in one partition in the order of their
 values: equal rows give equal groves on every cluster. What is predicted is not bounded and stays where it is.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from visitflow.sources.scratch import new_folder
 
-GROVE = 25  # trees that are grown together
+GROVE = 10  # trees that are grown together
 ROW = "row"  # the column that tells the rows of a table apart
 
 
@@ -79,7 +80,7 @@ def fitted_rows(rows: DataFrame) -> DataFrame:
 
 
 def grown(
-    estimator: Estimator, tasks: Sequence[Task], trees: int, seed: int, grove: int = GROVE, parallelism: int = 4,
+    estimator: Estimator, tasks: Sequence[Task], trees: int, seed: int, grove: int = GROVE, parallelism: int = 2,
     done: Callable[[int, int], None] | None = None,
 ) -> tuple[list[Forest], DataFrame]:
     """One forest for each task, and the votes: rows ``ROW, forest, votes`` (summed over all trees).

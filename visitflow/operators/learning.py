@@ -353,7 +353,7 @@ def _learned(data: DataFrame, condition: str) -> DataFrame:
 
 def train_admission(
     visits: DataFrame, trees: int = TREES, depth: int = DEPTH, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int = 4, labelled: int = LABELLED, grove: int = GROVE,
+    parallelism: int = 2, labelled: int = LABELLED, grove: int = GROVE,
 ) -> Trained:
     """Random forest for ``is_admitted``: stratified 80/20 test, and F1 over stratified folds (``folds=0``: none).
 
@@ -392,7 +392,7 @@ def train_admission(
 
 def train_score(
     visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, labelled: int = LABELLED,
-    parallelism: int = 4, grove: int = GROVE,
+    parallelism: int = 2, grove: int = GROVE,
 ) -> Trained:
     """Random forest for the satisfaction score, on scored visits only; plain 80/20 test.
 
