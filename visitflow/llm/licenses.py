@@ -1,9 +1,12 @@
 """Licences of files: TF-IDF cosine of their statements to templates, then inheritance from ancestor directories.
 
-* Every line of a text is a unit - licence headers are lines of their own - and so is the whole text of a file that is
+* Every line of a text is a unit - short licence headers are lines of their own - and so are, for headers over several
+  lines: every paragraph, that is the lines between empty ones, the first of which is the head of a file; every run of
+  comment lines; every stretch of as many lines as a template of several lines has; and the whole text of a file that is
   named like a licence file. Units and templates are sparse vectors of words, weighted by count times
   ``ln((files + 1) / (files with the word + 1)) + 1``. File counts are taken over all files for the words of templates;
-  another word counts as one that no file has.
+  another word counts as one that no file has, the heaviest weight there is: it can only lower a cosine, so that a unit
+  needs a template's words, and few others, to be like it.
 * The cosine of a unit with each template needs their common words only. It is at most the length of the template's vector
   over these words, as a share of the whole; so a line counts only when it has a word outside the lightest words of some
   template, which together stay below ``SIMILAR`` of its length. Other lines cannot reach it.
@@ -29,6 +32,9 @@ SHARE = 0.25
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)[^/]*$"
 
 
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--)"
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
@@ -46,6 +52,19 @@ def ancestors(folder: Column) -> Column:
     )
 
 
+def units_of(text: Column, heights: Column) -> Column:
+    """What is compared with templates: lines, paragraphs, runs of comment lines, stretches of ``heights`` lines."""
+    lines = F.split(text, "\n")
+
+    def blocks(whole: Column) -> Column:
+        return F.filter(F.split(whole, "\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n")))
+
+    comments = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(COMMENT), x).otherwise(F.lit(""))), "\n")
+    stretches = F.flatten(F.transform(F.filter(heights, lambda k: k <= F.size(lines)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i: F.array_join(F.slice(lines, i, k), "\n"))))
+    return F.concat(lines, blocks(text), blocks(comments), stretches)
+
+
 def _term_weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Column]:
     """``word, idf, share`` for the words of templates, and the weight of any other word."""
     vocabulary = templates.select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
@@ -74,7 +93,10 @@ def statements(files: DataFrame, templates: DataFrame, similar: float = SIMILAR)
     heavy = vectors.join(lengths, "license").withColumn("upto", F.sqrt(F.sum(F.col("w") * F.col("w")).over(lightest))).where(
         F.col("upto") >= (similar - 1e-6) * F.col("template_length"))
     needed = F.coalesce(heavy.agg(F.collect_set("word").alias("words")).scalar(), F.array().cast("array<string>"))
-    lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
+    height = F.size(F.split("text", "\n"))
+    found = [r["n"] for r in templates.select(height.alias("n")).where("n > 1").distinct().collect()]  # of a short list
+    heights = F.array(*map(F.lit, found)).cast("array<int>")
+    lines = files.select("key", F.posexplode(units_of(F.col("text"), heights)).alias("unit", "line"))
     whole = files.where(F.col("path").rlike(NAMED)).select("key", F.lit(-1).alias("unit"), F.col("text").alias("line"))
     units = lines.union(whole).select("key", "unit", words_of(F.col("line")).alias("words")).where(
         F.arrays_overlap("words", needed))
@@ -96,7 +118,8 @@ def statements(files: DataFrame, templates: DataFrame, similar: float = SIMILAR)
 
 
 def scanned(files: DataFrame, templates: DataFrame, similar: float = SIMILAR, share: float = SHARE) -> DataFrame:
-    """``row`` (the given row), ``license``, ``similarity``, ``how`` (stated, inherited, none) and ``from_directory``.
+    """``row`` (the given row without its text), ``license``, ``similarity``, ``how`` (stated, inherited, none) and
+    ``from_directory``.
 
     Texts are read for the statements only; what is joined and inherited are keys, directories and names.
     """
