@@ -1,11 +1,14 @@
-"""Repeated passages of lines, found by their shortest ranges that count.
+"""Repeated passages of lines, found by content-defined chunks.
 
-* A range of lines counts when it has two lines with words and ``SHORT`` words, or ``LONG`` words. From every line with
-  words on, the shortest range that counts is a chunk, and so is the shortest one up to that line; lines without words
-  in between belong to it. A passage that counts is the union of the chunks in it, so none that is repeated is missed.
+* A rolling hash over the hashes of ``ROLL`` lines with words chooses boundaries, so that a passage is cut alike wherever
+  it stands; lines of ``LONG`` words are chunks of their own, and lines without words are neither hashed nor boundaries,
+  but belong to the chunk around them. ``MIXES`` of the hash cut in several ways, since a short passage may hold no whole
+  chunk of one of them. A chunk counts when it has two lines with words and ``SHORT`` words, or ``LONG`` words.
 * Chunks of one digest form a group; the one of lowest (doc_id, row, line) is its original, and the bytes of each other
   one are compared with it.
-* A confirmed copy takes along the lines without words next to it that equal those around the original.
+* A confirmed copy grows, line by line, as far as the lines before and behind it equal those around the original (by
+  64-bit hash), at most over the neighbouring chunk that counts: a passage that goes on there is confirmed by that chunk itself. So
+  passages lose their edges, too, which boundaries rarely meet, and the lines without words beside them.
 
 Copies go, originals stay: what a line is removed for always stands earlier, so one copy of every passage is left. A
 document that loses all its lines with words goes; one that had none before stays.
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,18 +32,15 @@ from visitflow.llm.shared import row_key, text_slices, travels, written
 
 travels(__name__)
 
-ROLL = 1
-EVERY = 2
-MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # odd factors
+ROLL = 2  # lines with words that a rolling hash covers
+EVERY = 2  # lines from one boundary of a mix to the next, on average
+MIXES = tuple((0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) % (1 << 64) for i in range(8))  # odd factors
 SHORT = 12
 LONG = 20
 
 CHUNK = "key binary, doc_id bigint, start int, lines int, digest binary, before array<bigint>, after array<bigint>"
 
 
-REACH = 8  # lines without words beyond a chunk that are compared with those beyond its original
-
-
 def _hash(line: bytes) -> int:
     return int.from_bytes(blake2b(line, digest_size=8).digest(), "little", signed=True)
 
@@ -49,7 +48,8 @@ def _hash(line: bytes) -> int:
 def chunk_bounds(
     hashes: list[int], words: list[int], mix: int = MIXES[0], roll: int = ROLL, every: int = EVERY
 ) -> list[tuple[int, int]]:
-    """Ranges of lines, one after the other, cut by their content. ``copied_lines`` reads ``shortest_ranges`` instead."""
+    """Ranges of lines with words, one after the other, cut by their content: behind every line where the rolling hash says
+    so, and around every line of ``LONG`` words."""
     out, start, rolled = [], 0, 0
     weight = pow(31, roll, 1 << 64)
     for i, h in enumerate(hashes):
@@ -67,35 +67,38 @@ def chunk_bounds(
     return out
 
 
-def shortest_ranges(words: list[int]) -> list[tuple[int, int]]:
-    """The shortest ranges that count from every line with words on and up to every such line, by its words."""
+def chunk_ranges(raw: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Chunks that count, as ranges of lines, with the start of the one before and the end of the one behind.
+
+    Of a range that several mixes cut, the widest surroundings.
+    """
+    words = [len(line.split()) for line in raw]
     at = [i for i, n in enumerate(words) if n]
-    found = set()
-    for s in range(len(at)):
-        for way in (range(s, len(at)), range(s, -1, -1)):
-            total = 0
-            for k in way:
-                total += words[at[k]]
-                if total >= LONG or total >= SHORT and k != s:
-                    found.add((at[min(s, k)], at[max(s, k)] + 1))
-                    break
-    return sorted(found)
+    hashes, sizes = [_hash(raw[i]) for i in at], [words[i] for i in at]
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for mix in MIXES if at else ():
+        whole = []
+        for a, b in chunk_bounds(hashes, sizes, mix):
+            n = sum(sizes[a:b])
+            if n >= LONG or n >= SHORT and b - a > 1:
+                whole.append((at[a], at[b - 1] + 1))
+        for j, place in enumerate(whole):
+            low = whole[j - 1][0] if j else 0
+            high = whole[j + 1][1] if j + 1 < len(whole) else len(raw)
+            before = found.get(place, (low, high))
+            found[place] = (min(low, before[0]), max(high, before[1]))
+    return found
 
 
 def chunks_of(text: str | None) -> Iterator[tuple[int, int, bytes, list[int], list[int]]]:
-    """Chunks: start, lines, digest, and the hashes of the lines without words next to them, nearest first."""
+    """Chunks: start, lines, digest, and the hashes of the lines before and behind them, nearest first."""
     if not text:
         return
     raw = text.encode("utf-8", "replace").split(b"\n")
-    words = [len(line.split()) for line in raw]
-
-    def wordless(lines: range) -> list[int]:
-        return [_hash(raw[i]) for i in takewhile(lambda i: not words[i], lines)]
-
-    for a, b in shortest_ranges(words):
-        before = wordless(range(a - 1, max(-1, a - 1 - REACH), -1))
-        after = wordless(range(b, min(len(raw), b + REACH)))
-        yield a, b - a, blake2b(b"\n".join(raw[a:b]), digest_size=16).digest(), before, after
+    found = chunk_ranges(raw)
+    hashes = [_hash(line) for line in raw] if found else []
+    for (a, b), (low, high) in sorted(found.items()):
+        yield a, b - a, blake2b(b"\n".join(raw[a:b]), digest_size=16).digest(), hashes[low:a][::-1], hashes[b:high]
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
