@@ -392,7 +392,7 @@ def train_admission(
 
 def train_score(
     visits: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, labelled: int = LABELLED,
-    parallelism: int = 2, grove: int = GROVE,
+    parallelism: int = 1, grove: int = GROVE,
 ) -> Trained:
     """Random forest for the satisfaction score, on scored visits only; plain 80/20 test.
 
