@@ -62,9 +62,7 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, text):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_only_long_documents_are_cut():
@@ -147,3 +145,15 @@ def test_added_tokens_in_documents(spark, contract_tokenizer):
         ids = contract_tokenizer.encode(text, add_special_tokens=False).ids + [P.END]
         assert np.frombuffer(found[d], "<u4").tolist() == ids
     assert np.frombuffer(found[1], "<u4").tolist() == [64, 220, 50256, 275, P.END]
+
+
+def test_extra_columns_and_empty_tables(spark):
+    docs = rows.odd(spark)
+    for name in ("piece", "start", "length", "ids", "sequence_id", "offset", "tokens"):
+        docs = docs.withColumn(name, rows.F.lit(name))
+    plain, wide = (
+        sorted((r["doc_id"] or -1, r["piece"], r["start"], r["length"]) for r in P.packed(d, registry.VOCABULARY).collect())
+        for d in (rows.odd(spark), docs)
+    )
+    assert plain == wide != []
+    assert P.packed(docs.limit(0), registry.VOCABULARY).count() == 0

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from visitflow.llm import urlfilter as U
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -47,3 +49,14 @@ def test_large_listing_and_empty_tables(spark):
     assert got.where("verdict = 'block'").count() == sum(i % 7 == i % 5 for i in range(3000))
     assert U.judged(pages, listing.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == 4000
     assert U.judged(pages.limit(0), listing).count() == 0
+
+
+def test_very_long_urls_and_extra_columns(spark):
+    urls = ["http://" + "a." * 2000 + "example.com/en/" + "p" * 200_000, "http://" + "x" * 100_000, None, ""]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    for name in ("host", "path", "rule", "verdict", "row", "labels", "lengths", "parts", "words", "entry", "best"):
+        pages = pages.withColumn(name, F.lit(name))
+    listing = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judged(pages, listing).select(
+        "row.page_id", "rule", "verdict").collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: (None, "allow")}

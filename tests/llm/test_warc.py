@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from visitflow.llm import warc as W
 from visitflow.llm.shared import new_folder
 
@@ -66,3 +69,16 @@ def test_damage_is_noticed():
         assert "digest" in str(error)
     else:
         raise AssertionError("a wrong digest was accepted")
+
+
+def test_very_long_payloads_and_extra_columns(spark):
+    """Payloads beyond any block that is read at once, equal and different ones, and columns named like the record's."""
+    long = "".join(chr(97 + i * i % 26) for i in range(50_000)) * 90  # 4.5 MB
+    data = [(1, "http://a.example.com/" + "p" * 100_000, long), (2, "http://b.example.com/", long), (3, "http://c/", long + "x")]
+    pages = spark.createDataFrame(data, SCHEMA)
+    for name in ("payload", "record_type", "refers_to", "run", "part", "offset", "archive", "captured", "url_key"):
+        pages = pages.withColumn(name, F.lit(name))
+    got = {r["page_id"]: r for r in W.captures(pages).collect()}
+    assert {i: r["payload_bytes"] for i, r in got.items()} == {1: len(long), 2: len(long), 3: len(long) + 1}
+    assert (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 2) and got[2]["record_type"] == "response"
+    assert got[3]["payload_digest"] == hashlib.sha1((long + "x").encode()).hexdigest()
