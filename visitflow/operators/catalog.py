@@ -166,8 +166,7 @@ LIBRARY: dict[str, Report] = {
 _RACE_COLUMNS = ("race", "total", "admitted", "admission_rate_pct")
 _HOUR_COLUMNS = ("hour", "patient_count", "avg_wait_min")
 
-# The names of presets and report queries are fixed values.
-
+# --- fixed values: the names of presets and report queries ---------------------------------------------------------
 # The ready-made queries of the SQL explorer, under the names it shows.
 PRESETS: dict[str, Report] = {
     "Patient Volume Summary": lambda v: volume_summary(v).withColumnRenamed(
@@ -191,6 +190,7 @@ REPORT: dict[str, Report] = {
     "monthly_volume_trend": lambda v: monthly_trend(v).withColumnRenamed("avg_wait_min", "avg_wait"),
     "satisfaction_low_scorers": lambda v: _low_score_groups(v, ("race", "gender", "age_group"), 15),
 }
+# --- end of fixed values -------------------------------------------------------------------------------------------
 
 
 def register_views(visits: DataFrame) -> None:
