@@ -78,7 +78,7 @@ def test_extra_columns_and_empty_tables(spark):
     assert lexsearch.ranked(odd, spark.createDataFrame([], ITEMS)).collect() == []
 
 
-@pytest.mark.parametrize("block", [50_000, 12])
+@pytest.mark.parametrize("block", [50_000, 60])
 def test_many_documents_ties_and_blocks(spark, monkeypatch, block):
     """Several trees, many equal scores at the limit, queries in one block and in many."""
     monkeypatch.setattr(lexsearch, "DOCS", 200)
