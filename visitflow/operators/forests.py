@@ -13,7 +13,7 @@ values: equal rows give equal groves on every cluster. What is predicted is not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -80,13 +80,9 @@ def fitted_rows(rows: DataFrame) -> DataFrame:
 
 
 def grown(
-    estimator: Estimator, tasks: Sequence[Task], trees: int, seed: int, grove: int = GROVE, parallelism: int = 2,
-    done: Callable[[int, int], None] | None = None,
+    estimator: Estimator, tasks: Sequence[Task], trees: int, seed: int, grove: int = GROVE, parallelism: int = 2
 ) -> tuple[list[Forest], DataFrame]:
-    """One forest for each task, and the votes: rows ``ROW, forest, votes`` (summed over all trees).
-
-    ``done`` is told the task and grove after each grove.
-    """
+    """One forest for each task, and the votes: rows ``ROW, forest, votes`` (summed over all trees)."""
     spark = tasks[0].learn.sparkSession
     folder = new_folder(spark, "forest")
     sizes = [min(grove, trees - low) for low in range(0, trees, grove)]
@@ -103,8 +99,6 @@ def grown(
             model.write().overwrite().save(path)
         said = model.transform(tasks[i].predict).select(ROW, _votes(model, sizes[g]).alias("votes"))
         said.write.mode("overwrite").parquet(f"{votes}/forest={tasks[i].name}/grove={g}")
-        if done:
-            done(i, g)
         return path, model.totalNumNodes, model.featureImportances.toArray() * sizes[g]
 
     jobs = [(i, g) for g in range(len(sizes)) for i in range(len(tasks))]
