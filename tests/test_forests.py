@@ -131,6 +131,31 @@ def test_fixed_starts_find_planted_blobs(table):
         F.when(F.col("blob") < 2, 10).otherwise(300).alias("wait_time"), F.lit(5.0).alias("satisfaction_score_filled"),
         F.lit(12).alias("hour"), (F.col("blob") < 2).alias("is_admitted"), F.lit(True).alias("has_referral"))
     result = learning.segment_from_fixed_starts(blobs)
+def test_sums_of_a_round_are_exact(spark):
+    """Values whose sums are beyond the whole numbers of doubles, over more than one slice, and ties to the first centre."""
+    rows = [(i % 7 * 10**14 + i, 5 - i % 3 * 10**14, 1 + i % 5) for i in range(20_000)] + [(-10**15, 0, 1000)] * 3
+    centres = [[(0, 0), (5 * 10**14, 0), (0, 0)], [(-10**15, 0), (10**15, 7), (3, 3)]]
+    points = spark.createDataFrame(rows, "x bigint, y bigint, n bigint").repartition(3)
+    found = points.mapInArrow(
+        lloyd._sums(["x", "y"], centres), "s int, cluster int, n bigint, x decimal(38,0), y decimal(38,0)")
+    have = {(r["s"], r["cluster"]): (int(r["n"]), int(r["x"]), int(r["y"]))
+            for r in found.groupBy("s", "cluster").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    want = {}
+    for x, y, n in rows:
+        for s, own in enumerate(centres):
+            far = [(float(x) - a) ** 2 + (float(y) - b) ** 2 for a, b in own]
+            key = (s, far.index(min(far)))
+            want[key] = tuple(t + v for t, v in zip(want.get(key, (0, 0, 0)), (n, x * n, y * n), strict=True))
+    assert have == want and (0, 2) not in have
+
+
+def test_clusters_are_assigned_by_compiled_code(spark):
+    points = spark.createDataFrame([("a", -3, 0), ("b", 4, 0), ("c", 1, 0)], "patient_id string, x bigint, y bigint")
+    got = lloyd.assign(points, ["x", "y"], [(-2, 0), (4, 0)])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r)[::3] for r in got.collect()) == [("a", 0), ("b", 1), ("c", 0)]
+
+
     assert result.fit.inertia == 0
     assert result.clustered.groupBy("blob", "cluster").count().count() == 4
     assert result.clustered.columns == [*blobs.columns, "cluster"]
