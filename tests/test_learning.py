@@ -79,6 +79,13 @@ def test_segments_recover_planted_blobs(table):
     assert learning.cluster_table(result.profiles).columns[1:3] == ["avg_age", "avg_wait"]
 
 
+def test_drawn_segments_iterate_over_blocks(table):
+    """Row by row, every iteration of every start would decode all points again."""
+    result = learning.segment(table.select("patient_id", *learning.SEGMENT_FEATURES), starts=1)
+    assert result.model.getSolver() == "block"
+    assert result.profiles.agg(F.sum("size")).first()[0] == table.count()
+
+
 def test_a_constant_feature_scales_to_zero(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (None, None)], "a double, b double")
     rows = [tuple(r) for r in learning.standardize(df, ["a", "b"]).collect()]

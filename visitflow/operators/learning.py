@@ -444,7 +444,8 @@ def segment(
     """K-Means on the standardized features: the best of several starts by within-cluster sum of squares.
 
     A start ends when the centres together move by less than ``SHIFT`` squared; MLlib's tolerance is the distance a
-    single centre may move.
+    single centre may move. Iterations run over blocks of points (``solver="block"``): row by row, each of them would
+    decode every point again.
     """
     raw = [F.col(c).alias(f"_{c}") for c in SEGMENT_FEATURES]
     scaled = segment_features(visits.select("*", *raw), *visits.drop(*SEGMENT_FEATURES).columns,
@@ -452,7 +453,7 @@ def segment(
     vectors = VectorAssembler(inputCols=list(SEGMENT_FEATURES), outputCol="features").transform(scaled)
     points = _kept(vectors.select("patient_id", "features"))
 
-    kmeans = KMeans(k=n_clusters, maxIter=300, tol=sqrt(SHIFT / n_clusters), predictionCol="cluster")
+    kmeans = KMeans(k=n_clusters, maxIter=300, tol=sqrt(SHIFT / n_clusters), predictionCol="cluster", solver="block")
 
     def run(start: int) -> KMeansModel:
         return kmeans.copy({kmeans.seed: seed + start}).fit(points)
