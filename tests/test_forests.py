@@ -56,6 +56,23 @@ def test_folds_equal_separate_fits(table):
     assert trained.out_of_fold.count() == data.count()
 
 
+def test_votes_of_up_to_ten_groves_are_not_shuffled(table):
+    trained = learning.train_admission(table, trees=4, depth=3, folds=0, grove=2)
+    task = forests.Task(learning._learned(trained.data, "NOT is_test"), trained.data.select(forests.ROW, "label", "features"))
+    estimator = RandomForestClassifier(**learning._forest_options(trained.encoder, 3))
+    _, votes = forests.grown(estimator, [task], 10, 42, 1)
+    assert "Exchange" not in votes._jdf.queryExecution().executedPlan().toString()
+    assert votes.columns == [forests.ROW, "label", "votes", "forest"]
+    assert votes.count() == trained.data.count() == votes.select(forests.ROW).distinct().count()
+
+
+def test_more_groves_than_vote_together(table):
+    trained = learning.train_admission(table, trees=12, depth=3, folds=0, grove=1)
+    said = _by_hand(trained, None, learning._learned(trained.data, "NOT is_test"), trained.data.where("is_test"), 12, 1, depth=3)
+    assert {r["patient_id"]: r["prediction"] for r in trained.predictions.collect()} == said
+    assert len(trained.model.groves) == 12 and sum(trained.model.trees) == 12
+
+
 def test_groves_side_by_side_or_one_at_a_time(table):
     rated = table.where("satisfaction_score IS NOT NULL")
     found = []
@@ -114,23 +131,6 @@ def test_lloyd_steps_against_all_rows(spark):
     assert again == found
 
 
-def test_few_or_no_rows(spark):
-    schema = "patient_id string, x bigint, y bigint"
-    two = spark.createDataFrame([("a", 1, 2), ("b", 900_000, 2)], schema)
-    found = lloyd.fit(two, ["x", "y"], 4, 10, 42, 1e-4)
-    assert found.inertia == 0 and sorted(found.centres) == [(1, 2), (900_000, 2)]
-    none = spark.createDataFrame([], schema)
-    empty = lloyd.fit(none, ["x", "y"], 4, 10, 42, 1e-4)
-    assert empty.centres == [] and lloyd.assign(none, ["x", "y"], empty.centres).columns == [*none.columns, "cluster"]
-
-
-def test_fixed_starts_find_planted_blobs(table):
-    place = F.pmod(F.xxhash64("patient_id"), F.lit(4)).cast("int")
-    blobs = table.select("patient_id").withColumn("blob", place).select(
-        "patient_id", "blob", F.when(F.col("blob") % 2 == 0, 10).otherwise(90).alias("age"),
-        F.when(F.col("blob") < 2, 10).otherwise(300).alias("wait_time"), F.lit(5.0).alias("satisfaction_score_filled"),
-        F.lit(12).alias("hour"), (F.col("blob") < 2).alias("is_admitted"), F.lit(True).alias("has_referral"))
-    result = learning.segment_from_fixed_starts(blobs)
 def test_sums_of_a_round_are_exact(spark):
     """Values whose sums are beyond the whole numbers of doubles, over more than one slice, and ties to the first centre."""
     rows = [(i % 7 * 10**14 + i, 5 - i % 3 * 10**14, 1 + i % 5) for i in range(20_000)] + [(-10**15, 0, 1000)] * 3
@@ -156,6 +156,23 @@ def test_clusters_are_assigned_by_compiled_code(spark):
     assert sorted(tuple(r)[::3] for r in got.collect()) == [("a", 0), ("b", 1), ("c", 0)]
 
 
+def test_few_or_no_rows(spark):
+    schema = "patient_id string, x bigint, y bigint"
+    two = spark.createDataFrame([("a", 1, 2), ("b", 900_000, 2)], schema)
+    found = lloyd.fit(two, ["x", "y"], 4, 10, 42, 1e-4)
+    assert found.inertia == 0 and sorted(found.centres) == [(1, 2), (900_000, 2)]
+    none = spark.createDataFrame([], schema)
+    empty = lloyd.fit(none, ["x", "y"], 4, 10, 42, 1e-4)
+    assert empty.centres == [] and lloyd.assign(none, ["x", "y"], empty.centres).columns == [*none.columns, "cluster"]
+
+
+def test_fixed_starts_find_planted_blobs(table):
+    place = F.pmod(F.xxhash64("patient_id"), F.lit(4)).cast("int")
+    blobs = table.select("patient_id").withColumn("blob", place).select(
+        "patient_id", "blob", F.when(F.col("blob") % 2 == 0, 10).otherwise(90).alias("age"),
+        F.when(F.col("blob") < 2, 10).otherwise(300).alias("wait_time"), F.lit(5.0).alias("satisfaction_score_filled"),
+        F.lit(12).alias("hour"), (F.col("blob") < 2).alias("is_admitted"), F.lit(True).alias("has_referral"))
+    result = learning.segment_from_fixed_starts(blobs)
     assert result.fit.inertia == 0
     assert result.clustered.groupBy("blob", "cluster").count().count() == 4
     assert result.clustered.columns == [*blobs.columns, "cluster"]

@@ -3,9 +3,11 @@
 A forest of deep trees is too large to be grown at once: the driver holds every node of the trees in training, and MLlib
 sends them to the tasks at each level. Here a forest is a number of *groves*, forests of ``GROVE`` trees with a seed of
 their own. A grove is grown on node ids kept with the rows (``cacheNodeIds``), so that a level sends only the new splits;
-then it is saved (a fold's is not), leaves its votes for the rows to be predicted in a table, and is dropped. The driver
-holds as many groves as grow at a time (``parallelism``), whatever the number of trees, forests and rows, and sends one
-grove with a job of predictions. Votes are added by row.
+then it is saved (a fold's is not) and held until ``TOGETHER`` groves of its forest are grown, whose votes for the rows to
+be predicted are added in one pass, which leaves one row for each of them in a table. Up to ``TOGETHER`` groves a forest
+needs no shuffle for its votes; of larger forests, the sums of the passes are added by row. The driver holds the groves that
+vote (one pass at a time), those that wait and those that grow (``parallelism``), whatever the number of trees, forests and
+rows.
 
 A forest learns from a bounded number of rows (the caller's parameter), which lie in one partition in the order of their
 values: equal rows give equal groves on every cluster. What is predicted is not bounded and stays where it is.
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 from pyspark.ml import Estimator, Model
@@ -24,10 +27,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from visitflow.sources.scratch import new_folder
 
 GROVE = 10  # trees that are grown together
+TOGETHER = 10  # groves whose votes are taken in one pass
 ROW = "row"  # the column that tells the rows of a table apart
 
 
@@ -35,7 +40,7 @@ ROW = "row"  # the column that tells the rows of a table apart
 class Task:
     """A forest to grow: rows to learn from, and those whose votes are wanted (with the column ``ROW``).
 
-    Without ``keep``, only the votes are left of it.
+    What else stands beside ``features`` in the rows to predict is kept beside the votes. Without ``keep``, only the votes are left of it.
     """
 
     learn: DataFrame
@@ -66,11 +71,24 @@ class Forest:
         return self.importances / total if total else self.importances
 
 
-def _votes(model: Model, n: int) -> Column:
-    """What a grove says of a row: the sum of its trees' class shares, or of their values."""
-    if isinstance(model, RandomForestClassificationModel):
-        return vector_to_array(F.col("rawPrediction"))
-    return F.array(F.col("prediction") * n)
+def _added(votes: Column) -> Column:
+    """The sum, class by class, of an array of votes, in its order."""
+    none = F.transform(votes[0], lambda _: F.lit(0.0))
+    return F.aggregate(votes, none, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+
+def _voted(rows: DataFrame, models: Sequence[Model], sizes: Sequence[int]) -> DataFrame:
+    """Rows with ``votes`` instead of features: the sums of all trees' class shares, or of their values, grove by grove."""
+    kept, said = [c for c in rows.columns if c != "features"], []
+    for g, (model, n) in enumerate(zip(models, sizes, strict=True)):
+        if isinstance(model, RandomForestClassificationModel):
+            model = model.copy().setRawPredictionCol(f"_{g}").setProbabilityCol("").setPredictionCol("")
+            said.append(vector_to_array(F.col(f"_{g}")))
+        else:
+            model = model.copy().setPredictionCol(f"_{g}")
+            said.append(F.array(F.col(f"_{g}") * n))
+        rows = model.transform(rows)
+    return rows.select(*kept, _added(F.array(*said)).alias("votes"))
 
 
 def fitted_rows(rows: DataFrame) -> DataFrame:
@@ -82,45 +100,60 @@ def fitted_rows(rows: DataFrame) -> DataFrame:
 def grown(
     estimator: Estimator, tasks: Sequence[Task], trees: int, seed: int, grove: int = GROVE, parallelism: int = 2
 ) -> tuple[list[Forest], DataFrame]:
-    """One forest for each task, and the votes: rows ``ROW, forest, votes`` (summed over all trees)."""
+    """One forest for each task, and the votes: the kept columns of the rows, ``forest, votes`` (summed over all trees)."""
     spark = tasks[0].learn.sparkSession
     folder = new_folder(spark, "forest")
     sizes = [min(grove, trees - low) for low in range(0, trees, grove)]
+    parts = [range(len(sizes))[low:low + TOGETHER] for low in range(0, len(sizes), TOGETHER)]
     forests = [Forest(spark, f"{folder}/{t.name}") for t in tasks]
     learn = [fitted_rows(t.learn).persist() for t in tasks]
     votes = f"{folder}/votes"
 
-    def grow(job: tuple[int, int]) -> tuple[str | None, int, np.ndarray]:
-        i, g = job
+    held: dict[tuple[int, int], dict[int, Model]] = {(i, p): {} for i in range(len(tasks)) for p in range(len(parts))}
+    holding, voting = Lock(), Lock()
+
+    def vote(i: int, p: int) -> None:
+        with voting:
+            models = held.pop((i, p))
+            said = _voted(tasks[i].predict, [models[g] for g in parts[p]], [sizes[g] for g in parts[p]])
+            said.write.mode("overwrite").parquet(f"{votes}/forest={tasks[i].name}/part={p}")
+
+    def grow(job: tuple[int, int, int]) -> tuple[str | None, int, np.ndarray]:
+        i, p, g = job
         model = estimator.copy({estimator.numTrees: sizes[g], estimator.seed: seed + g}).fit(learn[i])
         kind = "classifier" if isinstance(model, RandomForestClassificationModel) else "regressor"
         path = f"{forests[i].folder}/grove-{g}-{kind}" if tasks[i].keep else None
         if path:
             model.write().overwrite().save(path)
-        said = model.transform(tasks[i].predict).select(ROW, _votes(model, sizes[g]).alias("votes"))
-        said.write.mode("overwrite").parquet(f"{votes}/forest={tasks[i].name}/grove={g}")
+        with holding:
+            held[i, p][g] = model
+            last = len(held[i, p]) == len(parts[p])
+        if last:
+            vote(i, p)
         return path, model.totalNumNodes, model.featureImportances.toArray() * sizes[g]
 
-    jobs = [(i, g) for g in range(len(sizes)) for i in range(len(tasks))]
+    jobs = [(i, p, g) for p, own in enumerate(parts) for i in range(len(tasks)) for g in own]
     try:
         with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
             results = pool.map(grow, jobs, chunksize=1)
     finally:
         for rows in learn:
             rows.unpersist()
-    for (i, g), (path, nodes, importance) in zip(jobs, results, strict=True):
+    for (i, _, g), (path, nodes, importance) in zip(jobs, results, strict=True):
         own = forests[i]
         if path:
             own.groves.append(path)
         own.trees.append(sizes[g])
         own.nodes += nodes
         own.importances = importance if own.importances is None else own.importances + importance
-    said = spark.read.schema(f"{ROW} bigint, votes array<double>, forest int, grove int").parquet(votes)
-    # At most one entry for each grove of a row's forest; added in their order, so that sums do not depend on the run.
-    each = F.transform(F.array_sort(F.collect_list(F.struct("grove", "votes"))), lambda x: x["votes"])
-    none = F.transform(each[0], lambda _: F.lit(0.0))
-    total = F.aggregate(each, none, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return forests, said.groupBy(ROW, "forest").agg(total.alias("votes"))
+    kept = StructType([f for f in tasks[0].predict.schema if f.name != "features"])
+    names, schema = kept.names, StructType(kept.fields).add("votes", ArrayType(DoubleType()))
+    said = spark.read.schema(schema.add("forest", IntegerType()).add("part", IntegerType())).parquet(votes)
+    if len(parts) == 1:
+        return forests, said.drop("part")
+    # At most one entry for each pass of a row's forest; added in their order, so that sums do not depend on the run.
+    each = F.transform(F.array_sort(F.collect_list(F.struct("part", "votes"))), lambda x: x["votes"])
+    return forests, said.groupBy(*names, "forest").agg(_added(each).alias("votes"))
 
 
 def majority(votes: Column) -> Column:

@@ -366,14 +366,14 @@ def train_admission(
     data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, folds, "label")
     if data.select("label").distinct().count() < 2:
         raise ValueError("the admission model needs both admitted and not admitted visits")
-    columns = (ROW, "features")
+    columns = (ROW, "patient_id", "label", "features")
     tasks = [Task(_learned(data, "NOT is_test"), data.where("is_test").select(*columns), folds)]
     tasks += [Task(_learned(data, f"fold <> {f}"), data.where(F.col("fold") == f).select(*columns), f, False)
               for f in range(folds)]
     estimator = RandomForestClassifier(**_forest_options(encoder, depth))
     forests, votes = grown(estimator, tasks, trees, seed, grove, parallelism)
-    found = votes.select(ROW, "forest", majority(F.col("votes")).alias("prediction"))
-    said = written(found.join(data.select(ROW, "patient_id", "label"), ROW), "predictions")
+    said = written(
+        votes.select("patient_id", "label", "forest", majority(F.col("votes")).alias("prediction")), "predictions")
     predictions = said.where(F.col("forest") == folds).select("patient_id", "label", "prediction")
     metrics, out_of_fold = accuracy(predictions), None
     if folds:
@@ -403,11 +403,10 @@ def train_score(
     matrix, encoder = feature_matrix(rated, "patient_id", "label")
     data = _flagged(_assembled(matrix, "patient_id", "label"), seed, labelled, 0, None)
     estimator = RandomForestRegressor(featureSubsetStrategy="all", **_forest_options(encoder, depth))
-    task = Task(_learned(data, "NOT is_test"), data.where("is_test").select(ROW, "features"))
+    task = Task(_learned(data, "NOT is_test"), data.where("is_test").select(ROW, "patient_id", "label", "features"))
     forests, votes = grown(estimator, [task], trees, seed, grove, parallelism)
-    found = votes.select(ROW, (F.col("votes")[0] / trees).alias("prediction"))
     predictions = written(
-        found.join(data.select(ROW, "patient_id", "label"), ROW).select("patient_id", "label", "prediction"), "predictions")
+        votes.select("patient_id", "label", (F.col("votes")[0] / trees).alias("prediction")), "predictions")
     metrics = regression_metrics(predictions).withColumns({
         "n_training_samples": data.agg(F.count(F.lit(1)).alias("n")).scalar(),
         "n_fit_samples": data.agg(F.count_if(F.expr("is_fit AND NOT is_test")).alias("n")).scalar(),
