@@ -9,8 +9,9 @@ needs no shuffle for its votes; of larger forests, the sums of the passes are ad
 vote (one pass at a time), those that wait and those that grow (``parallelism``), whatever the number of trees, forests and
 rows.
 
-A forest learns from a bounded number of rows (the caller's parameter), which lie in one partition in the order of their
-values: equal rows give equal groves on every cluster. What is predicted is not bounded and stays where it is.
+A forest learns here from a bounded number of rows (the caller sees to it; ``trees`` grows forests from any number), which lie
+in one partition in the order of their values: equal rows give equal groves on every cluster. What is predicted is not bounded
+and stays where it is.
 """
 
 from __future__ import annotations
