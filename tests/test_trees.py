@@ -40,7 +40,7 @@ def test_every_split_is_the_best_of_all(monkeypatch, batch):
     monkeypatch.setattr(trees, "BATCH", batch)
     codes, values, label, weights = _points(250)
     rows = np.arange(250, dtype=np.int32)
-    tree = trees.grow(codes, values, ARITY, label, rows, weights, np.random.default_rng(1), 30, 4)
+    tree = trees.grow(np.stack(codes, axis=1), values, ARITY, label, rows, weights, np.random.default_rng(1), 30, 4)
     of, gains = {0: np.flatnonzero(weights)}, np.zeros(4)
     leaf = trees.leaves(tree, ARITY, np.stack(codes, axis=1))
     for i, j in enumerate(tree.feature):
@@ -65,9 +65,9 @@ def test_every_split_is_the_best_of_all(monkeypatch, batch):
 def test_depth_and_one_class():
     codes, values, label, weights = _points(500, 1)
     rows, rng = np.arange(500, dtype=np.int32), np.random.default_rng(2)
-    assert len(trees.grow(codes, values, ARITY, label, rows, weights, rng, 1, 2).feature) == 3
-    assert len(trees.grow(codes, values, ARITY, np.ones_like(label), rows, weights, rng, 30, 2).feature) == 1
-    assert len(trees.grow(codes, values, ARITY, label, rows, weights, rng, 0, 2).feature) == 1
+    assert len(trees.grow(np.stack(codes, axis=1), values, ARITY, label, rows, weights, rng, 1, 2).feature) == 3
+    assert len(trees.grow(np.stack(codes, axis=1), values, ARITY, np.ones_like(label), rows, weights, rng, 30, 2).feature) == 1
+    assert len(trees.grow(np.stack(codes, axis=1), values, ARITY, label, rows, weights, rng, 0, 2).feature) == 1
 
 
 def _visits(spark, n):
